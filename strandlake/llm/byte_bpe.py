@@ -23,11 +23,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import Table, map_texts
 
 NO_RANK = np.int32(2**31 - 1)
-#: Characters of text that are replayed together: the unit of memory.
-BLOCK_CHARS = 24_000_000
+#: Bytes of text that are replayed together: the unit of memory.
+BLOCK_BYTES = 10_000_000
 
 
 class Codec:
@@ -51,35 +51,11 @@ class Codec:
         pairs = {self.ranks[t[:i]] * size + self.ranks[t[i:]]: r for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks}
         self.pairs = pairs
         keys, values = np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs))
-        # Open addressing with linear steps, a quarter full at most.
-        self.bits = max(8, int(len(pairs) * 4).bit_length())
-        self.slot_key, self.slot_rank = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NO_RANK, np.int32)
-        at, todo = self._slot(keys), np.arange(len(keys))
-        while len(todo):
-            free = self.slot_key[at[todo]] < 0
-            first = np.unique(at[todo[free]], return_index=True)[1]
-            put = todo[free][first]
-            self.slot_key[at[put]], self.slot_rank[at[put]] = keys[put], values[put]
-            todo = todo[self.slot_key[at[todo]] != keys[todo]]
-            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.table = Table(keys, values, NO_RANK)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of tokens; NO_RANK if it is no token."""
-        keys = left * self.size + right
-        at = self._slot(keys)
-        found = self.slot_key[at]
-        out = np.where(found == keys, self.slot_rank[at], NO_RANK)
-        todo = np.flatnonzero((found != keys) & (found >= 0))
-        while len(todo):
-            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
-            found = self.slot_key[at[todo]]
-            hit = found == keys[todo]
-            out[todo[hit]] = self.slot_rank[at[todo[hit]]]
-            todo = todo[~hit & (found >= 0)]
-        return out
+        return self.table[left * self.size + right]
 
     def replay(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word (none of them empty)."""
@@ -176,11 +152,11 @@ class Codec:
                 heapq.heappush(heap, (q, h))
         return [t for t in token if t >= 0]
 
-    def encode_block(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def encode_block(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """For each text the places of its pre-tokens among the block's distinct ones; the ids of those."""
         known: dict[str, int] = defaultdict()
         known.default_factory = known.__len__
-        where = [np.fromiter(map(known.__getitem__, self.findall(t)), np.int64) for t in texts]
+        where = [np.fromiter(map(known.__getitem__, self.findall(t or "")), np.int64) for t in texts]
         ids: list[np.ndarray | None] = []
         rest: list[bytes] = []
         for w in known:
@@ -202,32 +178,14 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def blocks(texts: list[str | None]):
-    """Runs of texts of BLOCK_CHARS characters, or one longer text."""
-    block: list[str] = []
-    n = 0
-    for t in texts:
-        t = t or ""
-        if block and n + len(t) > BLOCK_CHARS:
-            yield block
-            block, n = [], 0
-        block.append(t)
-        n += len(t)
-    if block:
-        yield block
-
-
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids, the array of each text's token ids."""
 
     def work(texts: list[str | None]) -> dict[str, list]:
-        c, out = codec(path, pattern), []
-        for block in blocks(texts):
-            where, ids = c.encode_block(block)
-            out += [np.concatenate([ids[i] for i in w.tolist()]) if len(w) else np.array([], np.int64) for w in where]
-        return {"ids": out}
+        where, ids = codec(path, pattern).encode_block(texts)
+        return {"ids": [np.concatenate([ids[i] for i in w.tolist()]) if len(w) else np.array([], np.int64) for w in where]}
 
-    return map_texts(df, [id_col], text_col, "ids array<bigint>", work).select(F.col(id_col).alias("doc_id"), "ids")
+    return map_texts(df, [id_col], text_col, "ids array<bigint>", work, BLOCK_BYTES).select(F.col(id_col).alias("doc_id"), "ids")
 
 
 def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,18 +194,17 @@ def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
     def work(texts: list[str | None]) -> dict[str, list]:
         c = codec(path, pattern)
         out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        for block in blocks(texts):
-            where, ids = c.encode_block(block)
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            lists = [x.tolist() for x in ids]
-            joined = [",".join([c.numbers[i] for i in x]) for x in lists]
-            decoded = [c.decode(x) for x in lists]
-            for w in where:
-                order = w.tolist()
-                out["n_tokens"].append(int(size[w].sum()))
-                out["ids_sha256"].append(hashlib.sha256(",".join([joined[i] for i in order]).encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(b"".join([decoded[i] for i in order])).hexdigest())
+        where, ids = c.encode_block(texts)
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        lists = [x.tolist() for x in ids]
+        joined = [",".join([c.numbers[i] for i in x]) for x in lists]
+        decoded = [c.decode(x) for x in lists]
+        for w in where:
+            order = w.tolist()
+            out["n_tokens"].append(int(size[w].sum()))
+            out["ids_sha256"].append(hashlib.sha256(",".join([joined[i] for i in order]).encode()).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(b"".join([decoded[i] for i in order])).hexdigest())
         return out
 
-    made = map_texts(df, [id_col], text_col, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", work)
+    made = map_texts(df, [id_col], text_col, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", work, BLOCK_BYTES)
     return made.select(F.col(id_col).alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,26 +46,87 @@ def crc_fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def map_texts(df: DataFrame, keep: list[str], text_col: str, schema: str, work: Callable[[list[str]], dict[str, Iterable]]) -> DataFrame:
-    """Rows of `keep` plus the columns that `work` makes of the texts of one Arrow batch (null text: None).
+#: Bytes of an Arrow batch between the JVM and Python; both sides hold a few of them for each task.
+BATCH_BYTES = 8 << 20
 
-    `work` gets a list of texts and returns one list per new column of the DDL `schema`.
-    The batch is the unit of memory; texts are never joined across batches.
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session: texts are long, and a batch's row count says little about its size."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).lower().rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def map_texts(df: DataFrame, keep: list[str], text_col: str, schema: str, work: Callable[[list[str]], dict[str, Iterable]], block_bytes: int = 0) -> DataFrame:
+    """Rows of `keep` plus the columns that `work` makes of a list of texts (null text: None).
+
+    `work` returns one list per new column of the DDL `schema`. It gets the texts of one Arrow batch, or of as many as make
+    `block_bytes` bytes; that is the unit of memory. Texts are never joined or cut.
     """
+    small_batches(df.sparkSession)
     made = [f.strip().split()[0] for f in schema.split(",")]
-    types = df.select(*keep).schema
+    kinds = [f.strip().split()[1] for f in schema.split(",")]
+    types = df.select(*[F.col(f"`{k}`") for k in keep]).schema
+    columns = keep if text_col in keep else [*keep, text_col]
+    at = columns.index(text_col)
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in types] + [schema])
 
+    def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = work([t for b in held for t in b.column(at).to_pylist()])
+        new = [x if isinstance(x, pa.Array) else pa.array(x, type=ARROW[t]) for x, t in zip((out[m] for m in made), kinds, strict=True)]
+        row = 0
+        for b in held:
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [x.slice(row, b.num_rows) for x in new], names=keep + made)
+            row += b.num_rows
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
         for b in batches:
-            if not b.num_rows:
-                continue
-            out = work(b.column(len(keep)).to_pylist())
-            new = [x if isinstance(x, pa.Array) else pa.array(x, type=ARROW[t]) for x, t in zip((out[m] for m in made), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + new, names=keep + made)
-
-    kinds = [f.strip().split()[1] for f in schema.split(",")]
-    return df.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text_col}`")).mapInArrow(run, ddl)
+            if b.num_rows:
+                held.append(b)
+                size += b.column(at).nbytes
+            if held and size >= block_bytes:
+                yield from done(held)
+                held, size = [], 0
+        if held:
+            yield from done(held)
+
+    return df.select(*[F.col(f"`{k}`") for k in columns]).mapInArrow(run, ddl)
+
+
+class Table:
+    """A fixed map from non-negative 64-bit to 32-bit numbers for lookups by whole arrays (open addressing, a quarter full at most)."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, absent: int):
+        self.bits = max(8, int(len(keys) * 4).bit_length())
+        self.absent = np.int32(absent)
+        self.key, self.value = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, absent, np.int32)
+        at, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            free = self.key[at[todo]] < 0
+            first = np.unique(at[todo[free]], return_index=True)[1]
+            put = todo[free][first]
+            self.key[at[put]], self.value[at[put]] = keys[put], values[put]
+            todo = todo[self.key[at[todo]] != keys[todo]]
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        found = self.key[at]
+        out = np.where(found == keys, self.value[at], self.absent)
+        todo = np.flatnonzero((found != keys) & (found >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+            found = self.key[at[todo]]
+            hit = found == keys[todo]
+            out[todo[hit]] = self.value[at[todo[hit]]]
+            todo = todo[~hit & (found >= 0)]
+        return out
 
 
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64()), "array<bigint>": pa.list_(pa.int64()), "binary": pa.binary()}
