@@ -21,9 +21,8 @@ from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import Table, map_texts
+from .common import Table, map_texts, pick
 
 NO_RANK = np.int32(2**31 - 1)
 #: Bytes of text that are replayed together: the unit of memory.
@@ -185,7 +184,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
         where, ids = codec(path, pattern).encode_block(texts)
         return {"ids": [np.concatenate([ids[i] for i in w.tolist()]) if len(w) else np.array([], np.int64) for w in where]}
 
-    return map_texts(df, [id_col], text_col, "ids array<bigint>", work, BLOCK_BYTES).select(F.col(id_col).alias("doc_id"), "ids")
+    return map_texts(pick(df, doc_id=id_col, text=text_col), ["doc_id"], "text", "ids array<bigint>", work, BLOCK_BYTES)
 
 
 def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,5 +205,4 @@ def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
             out["decoded_sha256"].append(hashlib.sha256(b"".join([decoded[i] for i in order])).hexdigest())
         return out
 
-    made = map_texts(df, [id_col], text_col, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", work, BLOCK_BYTES)
-    return made.select(F.col(id_col).alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+    return map_texts(pick(df, doc_id=id_col, text=text_col), ["doc_id"], "text", "n_tokens bigint, ids_sha256 string, decoded_sha256 string", work, BLOCK_BYTES)

@@ -37,6 +37,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def place(df: DataFrame, name: str) -> int:
+    """Where the column `name` stands: the first of exactly that name, else the only one that differs in case."""
+    if name in df.columns:
+        return df.columns.index(name)
+    alike = [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if len(alike) != 1:
+        raise ValueError(f"no column {name} in {df.columns}")
+    return alike[0]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """`df` with its columns named c0, c1 and so on, whatever they are called."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def pick(df: DataFrame, **columns: str) -> DataFrame:
+    """Only the given columns, under the given names; others may have any name, twice or in another case too."""
+    return numbered(df).select(*[F.col(f"c{place(df, c)}").alias(k) for k, c in columns.items()])
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

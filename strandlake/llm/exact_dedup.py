@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, numbered, pick, place, text_or_empty
 
 #: Counters of a Misra-Gries summary.
 COUNTERS = 1024
@@ -61,8 +61,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
     keep_id is the largest id among equal texts; `kept` marks exactly one row of each group.
     """
-    text = text_or_empty(text_col)
-    rows = cut(df.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("text_bytes"), F.monotonically_increasing_id().alias("row_key")))
+    df = pick(df, doc_id=id_col, text=text_col)
+    text = text_or_empty()
+    rows = cut(df.select("doc_id", F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("text_bytes"), F.monotonically_increasing_id().alias("row_key")))
     rank = F.max(F.struct("doc_id", (-F.col("row_key")).alias("k")))
     heavy = frequent(rows, k).withColumnRenamed("digest", "hd")
     # k + 1 rows at most: the verified winners, with exact counts.
@@ -88,12 +89,12 @@ def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows that agree in id and text are one document: one of them stays.
     """
     decided = exact_dedup(df, id_col, text_col, k).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    marked = df.withColumn("__sha", F.sha2(text_or_empty(text_col), 256))
-    stays = marked.join(decided, marked[id_col].eqNullSafe(decided["__id"]) & (marked["__sha"] == decided["__sha"]), "left_semi")
-    repeated = exact_repeats(df, id_col, text_col)
-    return (stays.dropDuplicates([id_col, "__sha"]) if repeated else stays).drop("__sha")
+    id_, text = f"c{place(df, id_col)}", f"c{place(df, text_col)}"
+    marked = numbered(df).withColumn("sha", F.sha2(text_or_empty(text), 256))
+    stays = marked.join(decided, F.col(id_).eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha")), "left_semi")
+    return (stays.dropDuplicates([id_, "sha"]) if repeats(df, id_col) else stays).drop("sha").toDF(*df.columns)
 
 
-def exact_repeats(df: DataFrame, id_col: str, text_col: str) -> bool:
+def repeats(df: DataFrame, id_col: str) -> bool:
     """Whether any id occurs twice; then equal rows have to be told apart."""
-    return bool(df.groupBy(id_col).count().where("count > 1").take(1))
+    return bool(pick(df, id=id_col).groupBy("id").count().where("count > 1").take(1))

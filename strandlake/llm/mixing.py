@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, cut, text_or_empty
+from .common import SPACE, cut, numbered, pick, place, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -162,17 +162,17 @@ def decide(rows: DataFrame, table: DataFrame, seed: int = 7) -> DataFrame:
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = 7) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, draws, taken."""
-    rows = cut(sized(df, id_col, text_col, source_col, seed).select(F.col(id_col).alias("doc_id"), "__source", "__size", "__h"))
+    picked = pick(df, doc_id=id_col, text=text_col, source=source_col)
+    rows = cut(sized(picked, "doc_id", "text", "source", seed).select("doc_id", "__source", "__size", "__h"))
     decided = decide(rows, plan(rows, shards, seed=seed), seed)
     return decided.select("doc_id", F.col("__source").alias("source"), F.col("__size").alias("size"), "source_size", "target", "draws", (F.size("draws") * F.col("__size")).cast("long").alias("taken"))
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = 7) -> DataFrame:
     """The mix itself: the rows of `df`, each as often as it is drawn, dealt to shards and shuffled within each of them."""
-    columns = df.columns
-    full = sized(df, id_col, text_col, source_col, seed)
+    full = sized(numbered(df), *[f"c{place(df, c)}" for c in (id_col, text_col, source_col)], seed)
     table = plan(cut(full.select("__source", "__size", "__h")), shards, seed=seed)
     drawn = decide(full, table, seed).withColumn("__d", F.explode("draws"))
     drawn = drawn.withColumn("__shard", F.col("__d.shard")).withColumn("__at", F.xxhash64(F.lit(seed + 4), "__d.shard", "__d.pass", "__h"))
     # The shard spreads over tasks by the hash's order, so that a shard may be larger than one task.
-    return drawn.repartitionByRange("__shard", "__at").sortWithinPartitions("__shard", "__at").select(*[F.col(f"`{c}`") for c in columns])
+    return drawn.repartitionByRange("__shard", "__at").sortWithinPartitions("__shard", "__at").select(*numbered(df).columns).toDF(*df.columns)

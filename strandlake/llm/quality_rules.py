@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, text_or_empty
+from .common import SPACE, pick, text_or_empty
 
 #: name -> SQL condition of failure over the measurements; the place in this list is the bit.
 RULES = {
@@ -43,7 +43,7 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the measurements, all long."""
-    t = df.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t"))
+    t = pick(df, doc_id=id_col, text=text_col).select("doc_id", text_or_empty().alias("t"))
     t = t.select("doc_id", "t", F.filter(F.split("t", SPACE), lambda x: x != "").alias("w"), F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     t = t.selectExpr(
         "doc_id",

@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, mixing, quality_rules, simhash, token_counts
+from . import byte_bpe, exact_dedup, language_id, mixing, pii, quality_classifier, quality_rules, simhash, token_counts, warc
 from .common import table
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -32,11 +32,30 @@ def ship(spark: SparkSession) -> None:
     context._strandlake = True
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.new_folder(spark)
+    directory = warc.index(warc.write(table(spark, sf_dir, "pages"), folder), folder)
+    records = warc.read(warc.captures_of(directory))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -59,7 +78,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = [op2_quality_rules, op6_token_counts, op7_byte_bpe, op8_simhash, op9_mixing, op10_exact_dedup]
+QUERIES = [op1_quality_classifier, op2_quality_rules, op3_warc, op4_language_id, op5_pii, op6_token_counts, op7_byte_bpe, op8_simhash, op9_mixing, op10_exact_dedup]
 
 #: Bits 2 to 6 of the ledger, as SQL over the measurements.
 _KEPT = "NOT base_failed AND NOT (10 * n_symbols > n_words OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 3 * n_words OR word_chars > 12 * n_words OR 2 * n_capitals > word_chars)"
@@ -81,6 +100,12 @@ SQL = {
             + (CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END) + (CASE WHEN word_chars < 3 * n_words THEN 16 ELSE 0 END) + (CASE WHEN word_chars > 12 * n_words THEN 32 ELSE 0 END)
             + (CASE WHEN 2 * n_capitals > word_chars THEN 64 ELSE 0 END) AS fail_bits
         FROM b""",
+    "op3_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+        r AS (SELECT *, max(page_id) OVER (PARTITION BY n, d) AS best FROM p)
+        SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND best <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN n >= 1000 AND best <> page_id THEN best END AS refers_to
+        FROM r""",
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",

@@ -26,9 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, small_batches, text_or_empty
+from .common import cut, map_texts, numbered, pick, place, small_batches, text_or_empty
 from .components import components
-from .exact_dedup import exact_repeats
+from .exact_dedup import repeats
 
 RADIUS = 4
 SHINGLE = 4
@@ -62,13 +62,14 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = (), size: int = SHINGLE) -> DataFrame:
-    """The id, the columns of `extra` and fp, the fingerprint as a signed 64-bit number."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+    """doc_id, text_hash and fp, the fingerprint as a signed 64-bit number."""
 
     def work(texts: list[str | None]) -> dict[str, np.ndarray]:
         return {"fp": pa.array(np.fromiter((fingerprint(t, size) for t in texts), np.uint64, len(texts)).view(np.int64))}
 
-    return map_texts(df, [id_col, *extra], text_col, "fp bigint", work)
+    rows = pick(df, doc_id=id_col, text=text_col).select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), "text")
+    return map_texts(rows, ["doc_id", "text_hash"], "text", "fp bigint", work)
 
 
 def flips(lo: int, hi: int, most: int) -> list[int]:
@@ -206,9 +207,9 @@ def links(fps: DataFrame, half: int = RADIUS // 2) -> DataFrame:
     return packed.repartition("begin").sortWithinPartitions("begin").mapInArrow(unpack, "a bigint, b bigint")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = (), radius: int = RADIUS) -> DataFrame:
-    """One row per row of `df`: doc_id, the columns of `extra`, fp and component_id, the smallest doc_id reachable by links."""
-    rows = cut(fingerprints(df, id_col, text_col, extra).withColumnRenamed(id_col, "doc_id"))
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row per row of `df`: doc_id, text_hash, fp and component_id, the smallest doc_id reachable by links."""
+    rows = cut(fingerprints(df, id_col, text_col))
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     found = components(cut(links(classes.select("fp"), radius // 2)))
     roots = classes.join(found, classes["fp"] == found["node"]).select("fp", "root", "least")
@@ -216,7 +217,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Classes of one document without links are components of their own and need no join.
     alone = classes.join(linked, "fp", "left_anti").where("n > 1").select("fp", F.col("least").alias("component_id"))
     named = linked.union(alone).withColumnRenamed("fp", "f")
-    return rows.join(named, rows["fp"] == named["f"], "left").select("doc_id", *extra, "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.join(named, rows["fp"] == named["f"], "left").select("doc_id", "text_hash", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,7 +225,8 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Rows that agree in id and text are one document: one of them stays.
     """
-    keyed = df.withColumn("__text", F.xxhash64(text_or_empty(text_col)))
-    gone = near_duplicates(keyed, id_col, text_col, ("__text",)).where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("__id"), F.col("__text").alias("__t")).distinct()
-    stays = keyed.join(gone, keyed[id_col].eqNullSafe(gone["__id"]) & (keyed["__text"] == gone["__t"]), "left_anti")
-    return (stays.dropDuplicates([id_col, "__text"]) if exact_repeats(df, id_col, text_col) else stays).drop("__text")
+    gone = near_duplicates(df, id_col, text_col).where("NOT doc_id <=> component_id").select("doc_id", "text_hash").distinct()
+    id_, text = f"c{place(df, id_col)}", f"c{place(df, text_col)}"
+    keyed = numbered(df).withColumn("hash", F.xxhash64(text_or_empty(text)))
+    stays = keyed.join(gone, F.col(id_).eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left_anti")
+    return (stays.dropDuplicates([id_, "hash"]) if repeats(df, id_col) else stays).drop("hash").toDF(*df.columns)

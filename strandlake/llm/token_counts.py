@@ -17,7 +17,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, pick
 
 MARK = "▁"
 #: Distinct pre-tokens that a worker remembers, and the longest of them.
@@ -101,5 +101,5 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         count = shortcut(path).count
         return {"n_bytes": [len((t or "").encode()) for t in texts], "n_tokens": [count(t or "") for t in texts]}
 
-    out = map_texts(df, [id_col], text_col, "n_bytes bigint, n_tokens bigint", work)
-    return out.select(F.col(id_col).alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    out = map_texts(pick(df, doc_id=id_col, text=text_col), ["doc_id"], "text", "n_bytes bigint, n_tokens bigint", work)
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
