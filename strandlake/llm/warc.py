@@ -116,15 +116,26 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     """Write `pages` as archives under `folder`; returns the captures (CAPTURES), written when this function returns."""
     small_batches(pages.sparkSession)
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    rows = pick(pages, id=id_col, url=url_col, html=html_col).select("id", "url", payload.alias("payload"), F.unhex(F.sha1(payload)).alias("digest"), F.monotonically_increasing_id().alias("row"))
+    rows = pick(pages, id=id_col, url=url_col, html=html_col).select("id", "url", payload.alias("payload"), F.unhex(F.sha1(payload)).alias("digest"), F.xxhash64("url").alias("u"))
     rows = rows.withColumn("n", F.octet_length("payload").cast("bigint"))
-    best = F.max(F.struct("id", (-F.col("row")).alias("row")))
-    groups = cut(rows.where(F.col("n") >= REVISIT_FROM).groupBy(F.col("digest").alias("d"), F.col("n").alias("dn")).agg(best.alias("best"), F.count(F.lit(1)).alias("k")).where("k > 1").select("d", "dn", F.col("best.id").alias("refers_to"), (-F.col("best.row")).alias("response")))
+    alike = rows.where(F.col("n") >= REVISIT_FROM).groupBy("digest", "n", "id", "u").agg(F.count(F.lit(1)).alias("times"))
+    groups = alike.groupBy(F.col("digest").alias("d"), F.col("n").alias("dn")).agg(F.max(F.struct("id", "u", "times")).alias("best"), F.sum("times").alias("k"))
+    groups = cut(groups.where("k > 1").select("d", "dn", F.col("best.id").alias("refers_to"), F.col("best.u").alias("best_u"), F.col("best.times").alias("times")))
+    twice = groups.where("times > 1").limit(1).count() > 0
     if groups.count() <= BROADCAST_ROWS:
         groups = F.broadcast(groups)
     decided = rows.join(groups, (F.col("digest") == F.col("d")) & (F.col("n") == F.col("dn")), "left")
-    revisit = F.col("d").isNotNull() & (F.col("response") != F.col("row"))
-    decided = decided.select("id", "url", "payload", F.when(revisit, F.col("refers_to")).alias("refers_to"), revisit.alias("revisit"))
+    decided = decided.withColumn("best", F.col("d").isNotNull() & F.col("id").eqNullSafe(F.col("refers_to")) & (F.col("u") == F.col("best_u")))
+    revisit = F.col("d").isNotNull() & ~F.col("best")
+    out = [F.col("id"), F.col("url"), F.col("payload"), F.when(revisit, F.col("refers_to")).alias("refers_to"), revisit.alias("revisit")]
+    if twice:
+        # Rows alike in every column: one of them is the response, the others revisit it.
+        same = decided.where("best AND times > 1").groupBy("digest", "n", "id", "u").agg(F.first("url").alias("url"), F.first("payload").alias("payload"), F.count(F.lit(1)).alias("times"))
+        same = same.select("id", "url", "payload", F.explode(F.sequence(F.lit(1).cast("bigint"), "times")).alias("i"))
+        same = same.select("id", "url", "payload", F.when(F.col("i") > 1, F.col("id")).alias("refers_to"), (F.col("i") > 1).alias("revisit"))
+        decided = decided.where("NOT best OR times = 1").select(*out).union(same)
+    else:
+        decided = decided.select(*out)
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, name, at = None, "", 0
