@@ -26,7 +26,7 @@ from .common import Table, map_texts, pick
 
 NO_RANK = np.int32(2**31 - 1)
 #: Bytes of text that are replayed together: the unit of memory.
-BLOCK_BYTES = 10_000_000
+BLOCK_BYTES = 5_000_000
 
 
 class Codec:
@@ -43,7 +43,7 @@ class Codec:
         for t, r in self.ranks.items():
             self.tokens[r] = t
         self.numbers = [str(r) for r in range(size)]
-        self.of_byte = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
+        self.of_byte = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int32)
         if (self.of_byte < 0).any():
             raise ValueError("the ranks lack a single byte")
         self.size = size
@@ -54,27 +54,28 @@ class Codec:
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of tokens; NO_RANK if it is no token."""
-        return self.table[left * self.size + right]
+        return self.table[left.astype(np.int64) * self.size + right]
 
-    def replay(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word (none of them empty)."""
+    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words (none of them empty), one after the other, and how many each has."""
         if not words:
-            return []
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         size = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(size)
         n = int(ends[-1])
         token = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
-        word = np.repeat(np.arange(len(words)), size)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), size)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[ends - 1] = -1
         before[ends - size] = -1
         alive = np.ones(n, bool)
         current = np.full(n, NO_RANK, np.int32)
         inside = np.flatnonzero(after >= 0)
         current[inside] = self.rank(token[inside], token[inside + 1])
-        places = np.argsort(current, kind="stable")
-        places = places[: int(np.searchsorted(current[places], NO_RANK))]
+        places = inside[current[inside] != NO_RANK].astype(np.int32)
+        places = places[np.argsort(current[places], kind="stable")]
         ranks, starts = np.unique(current[places], return_index=True)
+        del inside
         bounds = [*starts.tolist(), len(places)]
         heap = ranks.tolist()
         first = dict(zip(heap, zip(bounds, bounds[1:], strict=False), strict=True))
@@ -84,7 +85,7 @@ class Codec:
             r = heapq.heappop(heap)
             at = places[slice(*first.pop(r, (0, 0)))]
             if more := later.pop(r, None):
-                at = np.unique(np.concatenate([at, np.array(more, np.int64)]))
+                at = np.unique(np.concatenate([at, np.array(more, np.int32)]))
             at = at[current[at] == r]
             if not len(at):
                 continue
@@ -98,7 +99,7 @@ class Codec:
             beyond = after[right]
             has = np.flatnonzero(beyond >= 0)
             # Merging from the left meets the old right neighbour first.
-            early = self.rank(np.full(len(has), r, np.int64), token[beyond[has]]) < r
+            early = self.rank(np.full(len(has), r, np.int32), token[beyond[has]]) < r
             if early.any():
                 odd.update(word[at[has[early]]].tolist())
             token[at] = r
@@ -123,11 +124,13 @@ class Codec:
                 if q not in later and q not in first:
                     heapq.heappush(heap, q)
                 later[q].append(p)
-        ids = token[alive]
-        out = np.split(ids, np.cumsum(np.bincount(word[alive], minlength=len(words)))[:-1])
-        for w in odd:
-            out[w] = np.array(self.merge_one(words[w]), np.int64)
-        return out
+        ids, count = token[alive], np.bincount(word[alive], minlength=len(words))
+        if odd:
+            parts = np.split(ids, np.cumsum(count)[:-1])
+            for w in odd:
+                parts[w] = np.array(self.merge_one(words[w]), np.int32)
+            ids, count = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        return ids, count
 
     def merge_one(self, word: bytes) -> list[int]:
         """The ids of one word: the lowest rank first, from the left."""
@@ -151,22 +154,24 @@ class Codec:
                 heapq.heappush(heap, (q, h))
         return [t for t in token if t >= 0]
 
-    def encode_block(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """For each text the places of its pre-tokens among the block's distinct ones; the ids of those."""
+    def encode_block(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[int], list[int]]:
+        """For each text the places of its pre-tokens among the block's distinct ones; the ids of those, one after the other, and where
+        each begins (and the end)."""
         known: dict[str, int] = defaultdict()
         known.default_factory = known.__len__
-        where = [np.fromiter(map(known.__getitem__, self.findall(t or "")), np.int64) for t in texts]
-        ids: list[np.ndarray | None] = []
-        rest: list[bytes] = []
-        for w in known:
-            b = w.encode()
-            if (r := self.ranks.get(b)) is not None:
-                ids.append(np.array([r]))
-            else:
-                ids.append(None)
-                rest.append(b)
-        replayed = iter(self.replay(rest))
-        return where, [next(replayed) if x is None else x for x in ids]
+        where = [np.fromiter(map(known.__getitem__, self.findall(t or "")), np.int32) for t in texts]
+        words = [w.encode() for w in known]
+        del known
+        whole = [self.ranks.get(w, -1) for w in words]
+        ids, count = self.replay([w for w, r in zip(words, whole, strict=True) if r < 0])
+        size = np.ones(len(words), np.int64)
+        rest = np.array(whole, np.int64) < 0
+        size[rest] = count
+        begin = np.concatenate([[0], np.cumsum(size)])
+        out = np.empty(int(begin[-1]), np.int32)
+        out[np.repeat(rest, size)] = ids
+        out[begin[:-1][~rest]] = np.array(whole, np.int32)[~rest]
+        return where, out.tolist(), begin.tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -181,8 +186,8 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     """doc_id and ids, the array of each text's token ids."""
 
     def work(texts: list[str | None]) -> dict[str, list]:
-        where, ids = codec(path, pattern).encode_block(texts)
-        return {"ids": [np.concatenate([ids[i] for i in w.tolist()]) if len(w) else np.array([], np.int64) for w in where]}
+        where, ids, begin = codec(path, pattern).encode_block(texts)
+        return {"ids": [[t for i in w.tolist() for t in ids[begin[i] : begin[i + 1]]] for w in where]}
 
     return map_texts(pick(df, doc_id=id_col, text=text_col), ["doc_id"], "text", "ids array<bigint>", work, BLOCK_BYTES)
 
@@ -193,11 +198,13 @@ def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
     def work(texts: list[str | None]) -> dict[str, list]:
         c = codec(path, pattern)
         out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        where, ids = c.encode_block(texts)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        lists = [x.tolist() for x in ids]
-        joined = [",".join([c.numbers[i] for i in x]) for x in lists]
-        decoded = [c.decode(x) for x in lists]
+        where, ids, begin = c.encode_block(texts)
+        spans = list(zip(begin, begin[1:], strict=False))
+        size = np.diff(np.array(begin))
+        decoded = [c.decode(ids[a:b]) for a, b in spans]
+        numbers = [c.numbers[i] for i in ids]
+        joined = [",".join(numbers[a:b]) for a, b in spans]
+        del numbers, ids
         for w in where:
             order = w.tolist()
             out["n_tokens"].append(int(size[w].sum()))
