@@ -75,7 +75,7 @@ def phred_to_probability(q: C) -> Column:
 
 def probability_to_phred(log10_p: C, most: float = MAX_PHRED) -> Column:
     """Quality of a log10 probability; exactly 0 gives the cap."""
-    return F.when(col(log10_p) == 0, F.lit(most)).otherwise(F.least(F.lit(most), -10.0 * F.log10(F.lit(1.0) - F.pow(F.lit(10.0), col(log10_p)))))
+    return F.when(col(log10_p) == 0, F.lit(most)).when(col(log10_p).isNotNull(), F.least(F.lit(most), -10.0 * F.log10(F.lit(1.0) - F.pow(F.lit(10.0), col(log10_p)))))
 
 
 def base_score(base: C, reference: C, quality: C) -> Column:
@@ -141,7 +141,7 @@ def relative_quality(score: C, other: C) -> Column:
 
     The scores are normalised by a natural log-sum-exp although they are base 10: that is what results are compared with.
     """
-    m = F.greatest(col(score), col(other))
+    m = F.when(col(score).isNotNull() & col(other).isNotNull(), F.greatest(col(score), col(other)))
     norm = m + F.ln(F.exp(col(score) - m) + F.exp(col(other) - m))
     p = F.pow(F.lit(10.0), col(score) - norm)
-    return F.least(F.lit(MAX_PHRED), F.greatest(F.lit(0.0), F.when(p >= 1, F.lit(MAX_PHRED)).otherwise(-10.0 * F.log10(F.lit(1.0) - p))))
+    return F.when(p >= 1, F.lit(MAX_PHRED)).when(p.isNotNull(), F.least(F.lit(MAX_PHRED), F.greatest(F.lit(0.0), -10.0 * F.log10(F.lit(1.0) - p))))

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 
 def greedy(df: DataFrame, shard: str, order: str, size: str, limit: int) -> DataFrame:
-    """(shard, order, size, batch, at): a row goes to the current batch if it fits, else a new one begins. A row over the limit is an error.
+    """(shard, order, size, batch, begin): a row goes to the current batch if it fits, else a new one begins. A row over the limit is an error.
 
     The rows of a shard are folded in order by one expression.
     """
@@ -26,7 +26,7 @@ def greedy(df: DataFrame, shard: str, order: str, size: str, limit: int) -> Data
                     named_struct('used', a.used + r.z, 'batch', a.batch, 'n', a.n + 1, 'out', concat(a.out, array(named_struct('o', r.o, 'z', r.z, 'batch', a.batch, 'at', a.used)))))),
             a -> a.out) AS p""",
     )
-    return folded.select(shard, F.explode("p").alias("p")).select(shard, F.col("p.o").alias(order), F.col("p.z").alias(size), F.col("p.batch").alias("batch"), F.col("p.at").alias("at"))
+    return folded.select(shard, F.explode("p").alias("p")).select(shard, F.col("p.o").alias(order), F.col("p.z").alias(size), F.col("p.batch").alias("batch"), F.col("p.at").alias("begin"))
 
 
 def offsets(packed: DataFrame, shard: str, order: str, support: str) -> DataFrame:

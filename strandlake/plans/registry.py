@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..tuning import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -27,6 +29,7 @@ def query(sql: str | None = None):
         name = f.__name__
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
             return f(Tables(spark, sf_dir))
 
         run.__name__ = name

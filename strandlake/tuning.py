@@ -1,8 +1,15 @@
-"""How work is dealt to tasks."""
+"""How work is dealt to tasks, what they share, and how plans are cut."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+
+ROOT = Path(__file__).resolve().parents[1]
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -12,3 +19,34 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where none is named, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = f"file://{tempfile.mkdtemp(prefix='strandlake-')}"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the shared folder, so that neither a second reader nor a lost executor computes it again."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, unless their path has it. Operators with Python functions need it there."""
+    context = spark.sparkContext
+    if str(ROOT) in map(os.path.realpath, os.environ.get("PYTHONPATH", "").split(":")) or getattr(context, "_strandlake", False):
+        return
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp()), "strandlake.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted((ROOT / "strandlake").rglob("*.py")):
+            z.write(p, p.relative_to(ROOT))
+    context.addPyFile(path)
+    context._strandlake = True
