@@ -13,8 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from strandlake.llm import byte_bpe, exact_dedup, mixing, quality_classifier, simhash
-from strandlake.llm.common import shared_dir, table
-from strandlake.llm.queries import ship
+from strandlake.llm.common import shared_dir, ship, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
