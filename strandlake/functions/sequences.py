@@ -46,10 +46,11 @@ def kmers(seq: C, k: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(col(seq), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
 
-def chunks(seq: C, k: int, size: int = 1024) -> Column:
+def chunks(seq: C, k: int, size: int) -> Column:
     """The text in pieces of `size` starting places, each with the k - 1 characters after it, so that every k-mer lies whole in one piece.
 
-    Substrings are counted from a text's beginning; short pieces keep the k-mers of a long text linear in its length.
+    Substrings are counted from a text's beginning, and a row for each k-mer carries its piece along: cutting a text into long pieces
+    and those into short ones keeps the work of its k-mers linear in its length.
     """
     places = F.length(col(seq)) - (k - 1)
     steps = F.when(places > 0, F.sequence(F.lit(0), F.floor((places - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))

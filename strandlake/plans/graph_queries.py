@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..config import Kmers
 from ..operators import graphs, haplotypes
 from ..operators.variants import normalise
+from ..tuning import cut
 from .registry import query
 
 EDGES = "(SELECT DISTINCT p_partkey // 20 AS region, p_partkey AS src, p_partkey + d AS dst FROM (SELECT p_partkey, p_size, unnest([1 + p_size % 3, 2 + p_size % 5]) AS d FROM part WHERE p_partkey % 20 < 12) WHERE (p_partkey + d) // 20 = p_partkey // 20 AND (p_partkey + d) % 20 < 12)"
@@ -64,7 +65,8 @@ def region_tables(t):
     ref = "CASE p_size % 4 WHEN 0 THEN substring(s, 9, 6) WHEN 1 THEN substring(s, 9, 6) WHEN 2 THEN substring(s, 9, 1) ELSE substring(s, 9, 3) END"
     call = lambda n, a, b: f"named_struct('name', '{n}', 'gt', array({a}, {b}), 'phase', named_struct('kind', 'global', 'ps', cast(null AS int)), 'ft', cast(null AS string))"
     records = p.where("i % 2 = 1").selectExpr("concat('c', g) AS contig", "i * 32L + 8 AS pos", f"{ref} AS ref", f"{alt} AS alts", f"array({call('x', '0', '1')}, {call('y', 'cast(p_partkey % 2 AS int)', '0')}) AS samples")
-    return regions, normalise(records)
+    # Both are read several times over.
+    return cut(regions), cut(normalise(records))
 
 
 ALLELE_SEQUENCES = f"""
@@ -81,7 +83,7 @@ ALLELE_SEQUENCES = f"""
 def graph_allele_sequences(t):
     """What each allele's path through its region's graph spells: its sequence without the padding that all alleles share."""
     regions, records = region_tables(t)
-    g = graphs.build(regions, records)
+    g = cut(graphs.build(regions, records))
     steps = graphs.path_steps(g).where("kind = 'allele'")
     spelled = graphs.path_sequences(steps, graphs.nodes(g)).select("region", F.regexp_extract("path", "_alt_(.*)_[0-9]+", 1).alias("variant_id"), F.regexp_extract("path", "_([0-9]+)$", 1).cast("bigint").alias("allele"), "sequence")
     return spelled.join(records.select("variant_id", "contig", "pos"), "variant_id").select("contig", "pos", "allele", "sequence")
@@ -95,7 +97,7 @@ def graph_allele_sequences(t):
 def graph_haplotype_sequences(t):
     """What the second haplotype of a sample that carries every first ALT spells."""
     regions, records = region_tables(t)
-    g = graphs.build(regions, records)
+    g = cut(graphs.build(regions, records))
     steps = graphs.path_steps(g).where("kind = 'sample' AND sample = 'x' AND haplotype = 1")
     return graphs.path_sequences(steps, graphs.nodes(g)).join(g.select("region", "contig"), "region").select("contig", "sequence")
 
@@ -104,7 +106,7 @@ def graph_haplotype_sequences(t):
 def graph_samples(t):
     """Whether the samples' haplotypes touch a node that tells an ALT from REF."""
     regions, records = region_tables(t)
-    g = graphs.build(regions, records)
+    g = cut(graphs.build(regions, records))
     steps = graphs.path_steps(g)
     touched = graphs.samples_including(steps, graphs.allele_nodes(steps))
     both = g.select("region", "contig").join(touched, "region", "left")

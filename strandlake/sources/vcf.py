@@ -51,14 +51,14 @@ def read(spark: SparkSession, path: str, samples: list[str] | None = None, norma
 
     def one(name: str, i: int):
         values = F.split(at(len(FIXED) + 1 + i), ":")
-        get = lambda key: F.try_element_at(values, F.array_position(F.col("format"), key).cast("int"))
+        get = lambda key: F.try_element_at(values, F.nullif(F.array_position(F.col("format"), key).cast("int"), F.lit(0)))
         gt, ps = get("GT"), get("PS").try_cast("int")
         return F.struct(F.lit(name).alias("name"), genotypes.parse(gt).alias("gt"), genotypes.phase(gt, ps).alias("phase"), get("FT").alias("ft"))
 
     called = F.array(*[one(n, i) for n, i in wanted]) if wanted else F.array().cast("array<struct<name:string,gt:array<int>,phase:struct<kind:string,ps:int>,ft:string>>")
     out = rows.select(
         at(1).alias("contig"),
-        (at(2).cast("bigint") - 1).alias("pos"),
+        (at(2).try_cast("bigint") - 1).alias("pos"),
         known(at(3)).alias("id"),
         F.upper(at(4)).alias("ref"),
         F.when(at(5) == ".", F.array().cast("array<string>")).otherwise(F.split(at(5), ",")).alias("alts"),
