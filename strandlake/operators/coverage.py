@@ -53,14 +53,13 @@ def order_key(key: Column, seed: int) -> Column:
 def stratified(df: DataFrame, group: str, key: str, n: int, least: int, seed: int = 0) -> DataFrame:
     """About `n` rows over all in the order of a hash of `key`, but `least` of each group (or all it has).
 
-    The n-th key in that order is found by counting, then rows below it stay and small groups are filled up by a top-k in each group,
-    which Spark limits before it shuffles.
+    The n-th key in that order is a top-n, rows up to it stay, and small groups are filled up by a top-k in each group; Spark limits both
+    in every task before it shuffles.
     """
     rows = df.withColumn("__o", order_key(F.col(key), seed))
-    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy("__o", key)))
-    total = rows.count()
-    bar = 2147483648 if total <= n else int(rows.stat.approxQuantile("__o", [n / max(total, 1)], 0.0)[0])
-    return ranked.where((F.col("__o") <= bar) | (F.col("__r") <= least)).drop("__o", "__r")
+    bar = rows.orderBy("__o").limit(n).agg(F.max("__o")).first()[0]
+    first = rows.withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy("__o", key))).where(F.col("__r") <= least).drop("__r")
+    return rows.where(F.col("__o") <= F.lit(bar)).union(first.where(F.col("__o") > F.lit(bar))).drop("__o")
 
 
 def main_contigs(df: DataFrame) -> DataFrame:

@@ -29,15 +29,16 @@ def with_region(df: DataFrame) -> DataFrame:
 
 
 def fragments(reads: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by, qname, n_reads, read1, read2): a pair's reads in the order of their positions. One shuffle by name.
+    """(by, qname, n_reads, read1, read2): a pair's reads in the order of their positions.
 
-    Only the first two reads of a name count, so a name with very many records is added up before it is shuffled.
+    Only the first two reads of a name count: Spark keeps two of each in a task before it shuffles them, and counts apart, so a name
+    with very many records never meets in one task.
     """
     keys = [*(by or []), "qname"]
     columns = [c for c in reads.columns if c not in keys]
-    one = F.struct(F.col("pos").alias("__pos"), F.col("flag").alias("__flag"), F.struct(*columns).alias("r"))
-    out = reads.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_reads"), F.array_sort(F.collect_list(one), lambda a, b: F.when(a["__pos"] < b["__pos"], -1).when(a["__pos"] > b["__pos"], 1).when(a["__flag"] < b["__flag"], -1).when(a["__flag"] > b["__flag"], 1).otherwise(0)).alias("__r"))
-    return out.select(*keys, "n_reads", F.try_element_at("__r", F.lit(1))["r"].alias("read1"), F.try_element_at("__r", F.lit(2))["r"].alias("read2"))
+    kept = reads.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy("pos", "flag"))).where("__r <= 2")
+    nth = lambda i: F.first(F.when(F.col("__r") == i, F.struct(*columns)), ignorenulls=True).alias(f"read{i}")
+    return reads.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_reads")).join(kept.groupBy(*keys).agg(nth(1), nth(2)), keys)
 
 
 def insert_sizes(pairs: DataFrame, mean: float, sd: float) -> DataFrame:
