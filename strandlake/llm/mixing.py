@@ -98,7 +98,7 @@ def split_tree(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
 
 
 def plan(rows: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = 7) -> DataFrame:
-    """The block table: __source, block, nb, source_size, target, draws (array of pass, shard, part), cut_h, fit_h."""
+    """The block table: s, nb, b, source_size, target, draws (array of pass, shard, part), cut_h, fit_h, extra."""
     levels = max(shards - 1, 0).bit_length()
     sources = cut(targets(rows))
     total = sources.agg(F.sum("source_size").alias("total"))
@@ -120,16 +120,19 @@ def plan(rows: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: int
         .withColumn("need", F.when((F.col("upto") > F.col("more")) & (F.col("upto") - F.col("block_size") < F.col("more")), F.col("more") - F.col("upto") + F.col("block_size")))
     )
 
-    # Of the block that is drawn in part: documents in hash order while they fit, and the one that then fits best.
+    # Of the block that is drawn in part: documents in hash order while they fit. Then one more of the source's documents that the last
+    # pass leaves out, the one that fits best.
     part = sums.where("need is not null").select(F.col("__source").alias("s"), F.col("block").alias("b"), "need", "rank")
     inside = placed.join(small(part), F.col("__source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
     inside = inside.withColumn("o", inner_order(seed)).groupBy("rank", "need", "o").agg(F.sum("__size").alias("z"))
     inside = inside.withColumn("upto", F.sum("z").over(Window.partitionBy("rank").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)))
-    fits = inside.withColumn("left", F.col("need") - F.coalesce(F.max(F.when(F.col("upto") <= F.col("need"), F.col("upto"))).over(Window.partitionBy("rank")), F.lit(0)))
-    cuts = fits.groupBy("rank").agg(
-        F.max(F.when(F.col("upto") <= F.col("need"), F.col("o"))).alias("cut_h"),
-        F.min(F.when((F.col("upto") > F.col("need")) & (F.abs(F.col("left") - F.col("z")) < F.col("left")), F.struct(F.abs(F.col("left") - F.col("z")).alias("d"), F.col("o")))).alias("fit"),
-    ).select(F.col("rank").alias("r"), "cut_h", F.col("fit.o").alias("fit_h"))
+    taken = F.when(F.col("upto") <= F.col("need"), F.struct("upto", "o"))
+    cuts = cut(inside.groupBy("rank").agg(F.max(taken).alias("t"), F.max("need").alias("need")).select("rank", F.col("t.o").alias("cut_h"), (F.col("need") - F.coalesce("t.upto", F.lit(0))).alias("left")))
+    out = sums.where("NOT whole").join(small(cuts), "rank").select(F.col("__source").alias("s"), F.col("block").alias("b"), "rank", "left", F.when(F.col("need").isNotNull(), F.col("cut_h")).alias("cut_h"))
+    spare = placed.join(small(out), F.col("__source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).withColumn("o", inner_order(seed))
+    spare = spare.where((F.col("cut_h").isNull() | (F.col("o") > F.col("cut_h"))) & (F.abs(F.col("left") - F.col("__size")) < F.col("left")))
+    fits = spare.groupBy("rank").agg(F.min(F.struct(F.abs(F.col("left") - F.col("__size")).alias("d"), "o")).alias("f")).select("rank", F.col("f.o").alias("fit_h"))
+    cuts = cuts.join(fits, "rank", "left").select(F.col("rank").alias("r"), "cut_h", "fit_h")
 
     # Draws: every whole pass, the whole blocks of the last pass, and the block drawn in part.
     whole_passes = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1), lambda p: F.struct(p.alias("pass"), F.lit(False).alias("part")))).otherwise(F.array().cast("array<struct<pass:bigint,part:boolean>>"))
@@ -143,9 +146,11 @@ def plan(rows: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: int
     ends = leaves.select("shard", F.posexplode("q").alias("rank", "n"))
     ends = ends.withColumn("end", F.sum("n").over(Window.partitionBy("rank").orderBy("shard"))).groupBy("rank").agg(F.sort_array(F.collect_list("end")).alias("ends"))
     draws = draws.join(small(ends), "rank").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("at"))))
+    # The extra document comes with the block that is drawn in part.
+    extra = draws.where("part").select(F.col("rank").alias("xr"), F.struct("pass", "shard", "part").alias("extra"))
     by_block = draws.groupBy("rank", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard", "part"))).alias("draws"))
-    table = sums.select("__source", "rank", "block", "nb", "source_size", "target").join(by_block, ["rank", "block"], "left").join(cuts, F.col("rank") == F.col("r"), "left")
-    return cut(table.select(F.col("__source").alias("s"), "nb", F.col("block").alias("b"), "source_size", "target", F.coalesce("draws", F.array().cast("array<struct<pass:bigint,shard:int,part:boolean>>")).alias("draws"), "cut_h", "fit_h"))
+    table = sums.select("__source", "rank", "block", "nb", "source_size", "target").join(by_block, ["rank", "block"], "left").join(cuts, F.col("rank") == F.col("r"), "left").join(extra, F.col("rank") == F.col("xr"), "left")
+    return cut(table.select(F.col("__source").alias("s"), "nb", F.col("block").alias("b"), "source_size", "target", F.coalesce("draws", F.array().cast("array<struct<pass:bigint,shard:int,part:boolean>>")).alias("draws"), "cut_h", "fit_h", "extra"))
 
 
 def decide(rows: DataFrame, table: DataFrame, seed: int = 7) -> DataFrame:
@@ -155,9 +160,11 @@ def decide(rows: DataFrame, table: DataFrame, seed: int = 7) -> DataFrame:
     nb = table.groupBy("s").agg(F.max("nb").alias("nb"))
     rows = rows.join(small(nb), F.col("__source").eqNullSafe(F.col("s"))).withColumn("__block", block_of(F.col("nb"))).drop("s", "nb")
     rows = rows.join(small(table), F.col("__source").eqNullSafe(F.col("s")) & (F.col("__block") == F.col("b")))
-    mine = F.coalesce(F.col("__o") <= F.col("cut_h"), F.lit(False)) | F.coalesce(F.col("__o") == F.col("fit_h"), F.lit(False))
-    rows = rows.withColumn("__o", inner_order(seed)).withColumn("__mine", mine)
-    return rows.withColumn("draws", F.filter("draws", lambda d: ~d["part"] | F.col("__mine"))).drop("s", "nb", "b", "cut_h", "fit_h", "__block", "__o", "__mine")
+    rows = rows.withColumn("__o", inner_order(seed))
+    inside, fits = F.coalesce(F.col("__o") <= F.col("cut_h"), F.lit(False)), F.coalesce(F.col("__o") == F.col("fit_h"), F.lit(False))
+    draws = F.filter("draws", lambda d: ~d["part"] | inside)
+    rows = rows.withColumn("draws", F.when(fits & F.col("extra").isNotNull(), F.concat(draws, F.array("extra"))).otherwise(draws))
+    return rows.drop("s", "nb", "b", "cut_h", "fit_h", "extra", "__block", "__o")
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = 7) -> DataFrame:
