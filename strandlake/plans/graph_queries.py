@@ -1,4 +1,4 @@
-"""Graph, haplotype and sampler queries. Parts of a group of twenty make a small graph, each pointing to a few that follow."""
+"""Graph, haplotype and sampler queries. Parts of a group of twelve make a small graph, each pointing to a few that follow."""
 
 from __future__ import annotations
 
@@ -10,12 +10,12 @@ from ..operators.variants import normalise
 from ..tuning import cut
 from .registry import query
 
-EDGES = "(SELECT DISTINCT p_partkey // 20 AS region, p_partkey AS src, p_partkey + d AS dst FROM (SELECT p_partkey, p_size, unnest([1 + p_size % 3, 2 + p_size % 5]) AS d FROM part WHERE p_partkey % 20 < 12) WHERE (p_partkey + d) // 20 = p_partkey // 20 AND (p_partkey + d) % 20 < 12)"
+EDGES = "(SELECT DISTINCT p_partkey // 12 AS region, p_partkey AS src, p_partkey + d AS dst FROM (SELECT p_partkey, p_size, unnest([1 + p_size % 3, 2 + p_size % 5]) AS d FROM part) WHERE (p_partkey + d) // 12 = p_partkey // 12)"
 
 
 def edges(t):
-    e = t.part.where("p_partkey % 20 < 12").selectExpr("p_partkey", "p_size", "explode(array(1 + p_size % 3, 2 + p_size % 5)) AS d")
-    return e.where("(p_partkey + d) div 20 = p_partkey div 20 AND (p_partkey + d) % 20 < 12").selectExpr("p_partkey div 20 AS region", "p_partkey AS src", "p_partkey + d AS dst").distinct()
+    e = t.part.selectExpr("p_partkey", "p_size", "explode(array(1 + p_size % 3, 2 + p_size % 5)) AS d")
+    return e.where("(p_partkey + d) div 12 = p_partkey div 12").selectExpr("p_partkey div 12 AS region", "p_partkey AS src", "p_partkey + d AS dst").distinct()
 
 
 @query(f"WITH RECURSIVE e AS (SELECT * FROM {EDGES}), r(region, src, dst, n) AS (SELECT region, src, dst, 1 FROM e UNION SELECT r.region, r.src, e.dst, r.n + 1 FROM r JOIN e ON r.region = e.region AND r.dst = e.src WHERE r.n < 4) SELECT DISTINCT region, src, dst FROM r")
@@ -51,26 +51,26 @@ def path_enumerate(t):
     return graphs.walks(edges(t), ["region"], 3).select("region", F.array_join("nodes", "-").alias("nodes"))
 
 
-#: A region of one contig: sixteen bases by part, each second one with a record.
+#: A region of one contig: thirty-two bases for each part, with a record inside.
 SQL_DNA = "translate(md5(p_partkey::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT')"
 
 
 def region_tables(t):
-    """(regions, records): a region of 320 bases for every ten parts, a record in every second one, with calls of two samples."""
+    """(regions, records): a region of 320 bases for every ten parts, with a record for each part and calls of two samples."""
     dna = "translate(md5(cast(p_partkey AS string)), '0123456789abcdef', 'ACGTACGTACGTACGT')"
-    p = t.part.where("p_partkey >= 1").selectExpr("p_partkey", "(p_partkey - 1) div 10 AS g", "cast((p_partkey - 1) % 10 AS int) AS i", f"{dna} AS s", "p_size")
+    p = t.part.selectExpr("p_partkey", "p_partkey div 10 AS g", "cast(p_partkey % 10 AS int) AS i", f"{dna} AS s", "p_size")
     regions = p.groupBy("g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]), "").alias("sequence"))
     regions = regions.selectExpr("concat('g', g) AS region", "concat('c', g) AS contig", "0L AS start", "cast(length(sequence) AS bigint) AS end", "sequence")
     alt = "CASE p_size % 4 WHEN 0 THEN array(substring(s, 9, 1)) WHEN 1 THEN array(concat(substring(s, 9, 6), 'TTTT')) WHEN 2 THEN array(concat(substring(s, 9, 1), 'GGGGGG')) ELSE array(concat(substring(s, 9, 1), 'CA'), concat(substring(s, 9, 2), 'AAAA')) END"
     ref = "CASE p_size % 4 WHEN 0 THEN substring(s, 9, 6) WHEN 1 THEN substring(s, 9, 6) WHEN 2 THEN substring(s, 9, 1) ELSE substring(s, 9, 3) END"
     call = lambda n, a, b: f"named_struct('name', '{n}', 'gt', array({a}, {b}), 'phase', named_struct('kind', 'global', 'ps', cast(null AS int)), 'ft', cast(null AS string))"
-    records = p.where("i % 2 = 1").selectExpr("concat('c', g) AS contig", "i * 32L + 8 AS pos", f"{ref} AS ref", f"{alt} AS alts", f"array({call('x', '0', '1')}, {call('y', 'cast(p_partkey % 2 AS int)', '0')}) AS samples")
+    records = p.selectExpr("concat('c', g) AS contig", "i * 32L + 8 AS pos", f"{ref} AS ref", f"{alt} AS alts", f"array({call('x', '0', '1')}, {call('y', 'cast(p_partkey % 2 AS int)', '0')}) AS samples")
     # Both are read several times over.
     return cut(regions), cut(normalise(records))
 
 
 ALLELE_SEQUENCES = f"""
-    WITH p AS (SELECT 'c' || ((p_partkey - 1) // 10) AS contig, ((p_partkey - 1) % 10) * 32 + 8 AS pos, substr({SQL_DNA}, 9, 6) AS r6, {SQL_DNA} AS s, p_size % 4 AS k FROM part WHERE p_partkey >= 1 AND (p_partkey - 1) % 10 % 2 = 1),
+    WITH p AS (SELECT 'c' || (p_partkey // 10) AS contig, (p_partkey % 10) * 32 + 8 AS pos, substr({SQL_DNA}, 9, 6) AS r6, {SQL_DNA} AS s, p_size % 4 AS k FROM part),
     v AS (SELECT *, CASE k WHEN 0 THEN r6 WHEN 1 THEN r6 WHEN 2 THEN left(r6, 1) ELSE left(r6, 3) END AS ref,
         CASE k WHEN 0 THEN [left(r6, 1)] WHEN 1 THEN [r6 || 'TTTT'] WHEN 2 THEN [left(r6, 1) || 'GGGGGG'] ELSE [left(r6, 1) || 'CA', left(r6, 2) || 'AAAA'] END AS alts FROM p),
     a AS (SELECT *, alts[i] AS alt FROM (SELECT *, unnest(range(1, len(alts) + 1)) AS i FROM v)),
@@ -90,7 +90,7 @@ def graph_allele_sequences(t):
 
 
 @query(
-    f"""{ALLELE_SEQUENCES}, b AS (SELECT 'c' || ((p_partkey - 1) // 10) AS contig, p_partkey, (p_partkey - 1) % 10 AS i, {SQL_DNA} AS s FROM part WHERE p_partkey >= 1),
+    f"""{ALLELE_SEQUENCES}, b AS (SELECT 'c' || (p_partkey // 10) AS contig, p_partkey, p_partkey % 10 AS i, {SQL_DNA} AS s FROM part),
     x AS (SELECT b.contig, b.i, CASE WHEN w.alt IS NULL THEN b.s ELSE left(b.s, 8) || w.alt || substr(b.s, 9 + length(w.ref)) END AS s FROM b LEFT JOIN w ON w.contig = b.contig AND w.pos = b.i * 32 + 8 AND w.i = 1)
     SELECT contig, string_agg(s, '' ORDER BY i) AS sequence FROM x GROUP BY 1"""
 )
@@ -102,7 +102,7 @@ def graph_haplotype_sequences(t):
     return graphs.path_sequences(steps, graphs.nodes(g)).join(g.select("region", "contig"), "region").select("contig", "sequence")
 
 
-@query(f"{ALLELE_SEQUENCES}, c AS (SELECT DISTINCT contig, pos FROM w), pp AS (SELECT 'c' || ((p_partkey - 1) // 10) AS contig, ((p_partkey - 1) % 10) * 32 + 8 AS pos, p_partkey FROM part WHERE p_partkey >= 1) SELECT contig, 1 AS x, max((p_partkey % 2)::INT) AS y FROM c JOIN pp USING (contig, pos) GROUP BY 1")
+@query(f"{ALLELE_SEQUENCES}, c AS (SELECT DISTINCT contig, pos FROM w), pp AS (SELECT 'c' || (p_partkey // 10) AS contig, (p_partkey % 10) * 32 + 8 AS pos, p_partkey FROM part) SELECT contig, 1 AS x, max((p_partkey % 2)::INT) AS y FROM c JOIN pp USING (contig, pos) GROUP BY 1")
 def graph_samples(t):
     """Whether the samples' haplotypes touch a node that tells an ALT from REF."""
     regions, records = region_tables(t)
@@ -191,13 +191,13 @@ def truth_rank(t):
 
 
 @query(
-    """WITH d AS (SELECT DISTINCT l_suppkey % 6 AS haplotype, l_partkey AS variant_id, (l_linenumber % 3)::INT AS allele FROM lineitem WHERE l_partkey < 60), s AS (SELECT DISTINCT l_partkey AS variant_id, 3 AS allele FROM lineitem WHERE l_partkey < 60 AND l_partkey % 2 = 0), h AS (SELECT DISTINCT haplotype FROM d)
+    """WITH d AS (SELECT DISTINCT l_suppkey % 6 AS haplotype, l_partkey AS variant_id, (l_linenumber % 3)::INT AS allele FROM lineitem), s AS (SELECT DISTINCT l_partkey AS variant_id, 3 AS allele FROM lineitem), h AS (SELECT DISTINCT haplotype FROM d)
     SELECT * FROM d UNION SELECT h.haplotype, s.variant_id, s.allele FROM s, h WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.haplotype = h.haplotype AND d.variant_id = s.variant_id AND d.allele > 0)"""
 )
 def allele_compatibility(t):
     """Alleles that go with each haplotype, `*` where it shows none of the other ALTs."""
-    d = t.lineitem.where("l_partkey < 60").selectExpr("l_suppkey % 6 AS haplotype", "l_partkey AS variant_id", "cast(l_linenumber % 3 AS int) AS allele").distinct()
-    s = t.lineitem.where("l_partkey < 60 AND l_partkey % 2 = 0").selectExpr("l_partkey AS variant_id", "3 AS allele").distinct().withColumn("n_alleles", F.lit(4))
+    d = t.lineitem.selectExpr("l_suppkey % 6 AS haplotype", "l_partkey AS variant_id", "cast(l_linenumber % 3 AS int) AS allele").distinct()
+    s = t.lineitem.selectExpr("l_partkey AS variant_id", "3 AS allele").distinct().withColumn("n_alleles", F.lit(4))
     return haplotypes.compatible(d, s, d)
 
 

@@ -89,12 +89,12 @@ def interval_text(t):
 
 
 @query(
-    f"""WITH e AS ({EVENTS}) SELECT event_id, greatest(0, start - greatest((301 - ("end" - start) + 1) // 2, 60)) AS s, "end" + greatest(CAST(floor((301 - ("end" - start)) / 2) AS BIGINT), 60) AS e FROM e WHERE "end" - start < 600 """
+    f"""WITH e AS ({EVENTS}) SELECT event_id, greatest(0, start - greatest((701 - ("end" - start) + 1) // 2, 60)) AS s, "end" + greatest((701 - ("end" - start)) // 2, 60) AS e FROM e"""
 )
 def image_regions(t):
     """Windows of a fixed width around intervals."""
-    s, e = fn.image_region("start", "end", 301, 60)
-    return event_intervals(t).where("end - start < 600").select("event_id", s.alias("s"), e.alias("e"))
+    s, e = fn.image_region("start", "end", 701, 60)
+    return event_intervals(t).select("event_id", s.alias("s"), e.alias("e"))
 
 
 @query("SELECT l_returnflag, l_linestatus, (sum(l_quantity * l_extendedprice) / sum(l_quantity)) / (SELECT sum(l_quantity * l_extendedprice) / sum(l_quantity) FROM lineitem) AS norm_coverage, count(*) AS windows FROM lineitem GROUP BY 1, 2")

@@ -32,7 +32,7 @@ def cigar_span(t):
 
 
 @query(
-    f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_orderkey % 1000 - (l_linenumber % 3 + 1) AS start, regexp_extract_all({CIGAR}, '[0-9]+[MIDNSHP=X]') AS ops FROM lineitem WHERE l_orderkey % 10 = 3),
+    f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_orderkey % 1000 - (l_linenumber % 3 + 1) AS start, regexp_extract_all({CIGAR}, '[0-9]+[MIDNSHP=X]') AS ops FROM lineitem),
     o AS (SELECT *, right(ops[i], 1) AS op, left(ops[i], length(ops[i]) - 1)::INT AS n FROM (SELECT *, unnest(range(1, len(ops) + 1)) AS i FROM r)),
     p AS (SELECT *, start + coalesce(sum(CASE WHEN op IN ('M', 'D', 'N', 'S', '=', 'X') THEN n ELSE 0 END) OVER w, 0) AS at0, coalesce(sum(CASE WHEN op IN ('M', 'I', 'S', '=', 'X') THEN n ELSE 0 END) OVER w, 0) AS rd FROM o
         WINDOW w AS (PARTITION BY l_orderkey, l_linenumber, l_partkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
@@ -41,7 +41,7 @@ def cigar_span(t):
 )
 def cigar_slices(t):
     """The columns of a window that each operation of a read covers."""
-    r = with_cigar(t).where("l_orderkey % 10 = 3").withColumn("ops", alignment.parse_cigar("cigar"))
+    r = with_cigar(t).withColumn("ops", alignment.parse_cigar("cigar"))
     s = r.select("l_orderkey", "l_linenumber", "l_partkey", F.explode(alignment.slices("pos", F.col("ops"), F.lit(400), F.lit(420))).alias("s"))
     return s.select("l_orderkey", "l_linenumber", "l_partkey", F.col("s.op").alias("op"), F.col("s.from").alias("from_col"), F.col("s.to").alias("to_col"), F.col("s.read_from").alias("read_from"))
 
@@ -136,14 +136,14 @@ SCORES = "(SELECT l_orderkey, l_linenumber % 3 AS allele, -(l_extendedprice / 10
     f"""WITH a AS (SELECT l_orderkey, allele, max(score) + log10(sum(pow(10, score - m))) AS s FROM (SELECT *, max(score) OVER (PARTITION BY l_orderkey, allele) AS m FROM {SCORES}) GROUP BY 1, 2),
     t AS (SELECT l_orderkey, max(s) + log10(sum(pow(10, s - m))) AS t FROM (SELECT *, max(s) OVER (PARTITION BY l_orderkey) AS m FROM a) GROUP BY 1),
     b AS (SELECT l_orderkey, max(CASE WHEN allele = 0 THEN s END) AS r, max(CASE WHEN allele > 0 THEN s END) AS v FROM a GROUP BY 1),
-    q AS (SELECT l_orderkey, CASE WHEN r - t = 0 THEN 40 ELSE least(40, -10 * log10(1 - pow(10, r - t))) END AS rq, CASE WHEN v - t = 0 THEN 40 ELSE least(40, -10 * log10(1 - pow(10, v - t))) END AS vq FROM b JOIN t USING (l_orderkey) WHERE r IS NOT NULL AND v IS NOT NULL)
+    q AS (SELECT l_orderkey, CASE WHEN r - t = 0 THEN 40 WHEN r IS NOT NULL THEN least(40, -10 * log10(1 - pow(10, r - t))) END AS rq, CASE WHEN v - t = 0 THEN 40 WHEN v IS NOT NULL THEN least(40, -10 * log10(1 - pow(10, v - t))) END AS vq FROM b JOIN t USING (l_orderkey))
     SELECT l_orderkey, round(rq, 6) AS ref_quality, round(vq, 6) AS alt_quality, CASE WHEN vq - rq > 1 THEN 'alt' WHEN vq - rq < -1 THEN 'ref' ELSE 'ambiguous' END AS assignment FROM q"""
 )
 def phred_logsumexp(t):
     """Each fragment's qualities of REF and its best ALT from log-summed alignment scores."""
     s = t.lineitem.selectExpr("l_orderkey", "l_linenumber % 3 AS allele", "-(l_extendedprice / 100000) AS score")
     q = reads.allele_scores(s, ["l_orderkey"])
-    return q.where("ref_quality IS NOT NULL AND alt_quality IS NOT NULL").select("l_orderkey", F.round("ref_quality", 6).alias("ref_quality"), F.round("alt_quality", 6).alias("alt_quality"), "assignment")
+    return q.select("l_orderkey", F.round("ref_quality", 6).alias("ref_quality"), F.round("alt_quality", 6).alias("alt_quality"), "assignment")
 
 
 @query(
@@ -181,12 +181,12 @@ def alignment_score(t):
 
 
 @query(
-    """WITH c AS (SELECT l_orderkey AS f, l_linenumber % 2 AS allele, l_linenumber AS n, l_partkey % 300 AS pos, l_partkey % 300 + 50 AS e, l_suppkey % 2 = 0 AS rev, -l_tax AS s FROM lineitem WHERE l_orderkey % 4 = 0),
+    """WITH c AS (SELECT l_orderkey AS f, l_linenumber % 2 AS allele, l_linenumber AS n, l_partkey % 300 AS pos, l_partkey % 300 + 50 AS e, l_suppkey % 2 = 0 AS rev, -l_tax AS s FROM lineitem),
     p AS (SELECT a.f, a.allele, a.s + b.s + CASE WHEN a.rev <> b.rev AND (CASE WHEN a.rev THEN b.pos <= a.pos ELSE a.pos <= b.pos END) THEN log10(exp(-0.5 * pow((greatest(a.e, b.e) - least(a.pos, b.pos) - 150) / 40.0, 2)) * 0.3989422804014327 / 40) ELSE -10 END AS score
         FROM c a JOIN c b ON a.f = b.f AND a.allele = b.allele WHERE a.n <= 3 AND b.n > 3)
     SELECT f, allele, max(score) AS best, count(*) AS pairs FROM p GROUP BY 1, 2"""
 )
 def best_alignment_pairs(t):
     """The best score of the alignment pairs of each fragment and allele."""
-    c = t.lineitem.where("l_orderkey % 4 = 0").selectExpr("l_orderkey AS f", "l_linenumber % 2 AS allele", "CASE WHEN l_linenumber <= 3 THEN 1 ELSE 2 END AS read", "l_partkey % 300 AS pos", "l_partkey % 300 + 50 AS ref_end", "l_suppkey % 2 = 0 AS reverse", "-l_tax AS score")
+    c = t.lineitem.selectExpr("l_orderkey AS f", "l_linenumber % 2 AS allele", "CASE WHEN l_linenumber <= 3 THEN 1 ELSE 2 END AS read", "l_partkey % 300 AS pos", "l_partkey % 300 + 50 AS ref_end", "l_suppkey % 2 = 0 AS reverse", "-l_tax AS score")
     return reads.best_pairs(c, ["f"], 150.0, 40.0).groupBy("f", "allele").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("pairs"))

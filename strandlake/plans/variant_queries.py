@@ -101,9 +101,9 @@ def update_filter(t):
     return variants.update_filter(c).select("o_orderkey", "passing", F.array_join("filters", ";").alias("filters"))
 
 
-@query(f"SELECT o_orderkey, a <> 0 AND b <> 0 AS complete, a = 1 AS nonref_x, CASE WHEN b = 1 THEN 1 ELSE 0 END AS second_y FROM {FILTERS} WHERE b <> 0")
+@query(f"SELECT o_orderkey, a <> 0 AND b <> 0 AS complete, a = 1 AS nonref_x, CASE WHEN b = 1 THEN 1 WHEN b <> 0 THEN 0 END AS second_y FROM {FILTERS}")
 def genotype_predicates(t):
-    s = variants.subset(calls(t).where("b <> 0"), ["y", "x"])
+    s = variants.subset(calls(t), ["y", "x"])
     y, x = F.col("samples")[0]["gt"], F.col("samples")[1]["gt"]
     return s.select("o_orderkey", (genotypes.complete(x) & genotypes.complete(y)).alias("complete"), genotypes.non_reference(x).alias("nonref_x"), y[1].alias("second_y"))
 
@@ -146,11 +146,12 @@ def label_rank(t):
     return r.select("o_orderkey", F.col("i").cast("bigint").alias("i"), "rank")
 
 
-@query("WITH u AS (SELECT 'v' || (p_partkey % 50) AS variant_id, p_partkey AS k, 0 AS src FROM part WHERE p_partkey <= 40 UNION ALL SELECT 'v' || (p_partkey % 50), p_partkey, 1 FROM part WHERE p_partkey BETWEEN 30 AND 60) SELECT variant_id, k FROM u WHERE src = 0 OR variant_id NOT IN (SELECT variant_id FROM u WHERE src = 0)")
+@query("WITH u AS (SELECT 'v' || p_partkey AS variant_id, p_size AS k, 0 AS src FROM part UNION ALL SELECT 'v' || (p_partkey + 100), p_size, 1 FROM part) SELECT variant_id, k FROM u WHERE src = 0 OR variant_id NOT IN (SELECT variant_id FROM u WHERE src = 0)")
 def variant_concat(t):
     """Records of two tables, the first one's where both have one."""
-    v = t.part.selectExpr("concat('v', p_partkey % 50) AS variant_id", "p_partkey AS k")
-    return variants.concat(v.where("k <= 40"), v.where("k BETWEEN 30 AND 60")).select("variant_id", "k")
+    first = t.part.selectExpr("concat('v', p_partkey) AS variant_id", "p_size AS k")
+    second = t.part.selectExpr("concat('v', p_partkey + 100) AS variant_id", "p_size AS k")
+    return variants.concat(first, second).select("variant_id", "k")
 
 
 @query("SELECT p_partkey, max(CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey % 3 END)::INT AS h0, max(CASE WHEN l_linenumber % 2 = 1 THEN l_suppkey % 3 END)::INT AS h1 FROM part JOIN lineitem ON p_partkey = l_partkey GROUP BY 1")
@@ -162,24 +163,24 @@ def genotype_by_haplotype(t):
 
 
 @query(
-    """WITH c AS (SELECT l_suppkey % 20 AS region, o_custkey % 30 AS sample, max(CASE WHEN l_returnflag = 'R' AND l_linenumber > 5 THEN 1 ELSE 0 END) AS f FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 7 = 0 GROUP BY 1, 2),
-    every AS (SELECT * FROM (SELECT DISTINCT l_suppkey % 20 AS region FROM lineitem), (SELECT DISTINCT o_custkey % 30 AS sample FROM orders))
+    """WITH c AS (SELECT l_suppkey % 20 AS region, o_custkey AS sample, max(CASE WHEN l_returnflag = 'R' AND l_linenumber > 5 THEN 1 ELSE 0 END) AS f FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+    every AS (SELECT * FROM (SELECT DISTINCT l_suppkey % 20 AS region FROM lineitem), (SELECT DISTINCT o_custkey AS sample FROM orders))
     SELECT region, sample, f IS NOT NULL AS positive FROM every LEFT JOIN c USING (region, sample) WHERE coalesce(f, 0) = 0"""
 )
 def sample_split(t):
     """Samples that a region can be trained on: without structural alleles, or with none that is filtered."""
-    touched = t.lineitem.where("l_orderkey % 7 = 0").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr("l_suppkey % 20 AS region", "o_custkey % 30 AS sample", "l_returnflag = 'R' AND l_linenumber > 5 AS filtered")
-    return variants.split_samples(touched, t.orders.selectExpr("o_custkey % 30 AS sample"), t.lineitem.selectExpr("l_suppkey % 20 AS region"))
+    touched = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr("l_suppkey % 20 AS region", "o_custkey AS sample", "l_returnflag = 'R' AND l_linenumber > 5 AS filtered")
+    return variants.split_samples(touched, t.orders.selectExpr("o_custkey AS sample"), t.lineitem.selectExpr("l_suppkey % 20 AS region"))
 
 
 @query(
-    """WITH c AS (SELECT l_suppkey % 20 AS region, o_custkey % 30 AS sample, max(CASE WHEN l_returnflag = 'R' AND l_linenumber > 5 THEN 1 ELSE 0 END) AS f FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 7 = 0 GROUP BY 1, 2),
-    every AS (SELECT * FROM (SELECT DISTINCT l_suppkey % 20 AS region FROM lineitem), (SELECT DISTINCT o_custkey % 30 AS sample FROM orders))
+    """WITH c AS (SELECT l_suppkey % 20 AS region, o_custkey AS sample, max(CASE WHEN l_returnflag = 'R' AND l_linenumber > 5 THEN 1 ELSE 0 END) AS f FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+    every AS (SELECT * FROM (SELECT DISTINCT l_suppkey % 20 AS region FROM lineitem), (SELECT DISTINCT o_custkey AS sample FROM orders))
     SELECT sample, count(*) AS regions, sum(CASE WHEN f IS NOT NULL THEN 1 ELSE 0 END) AS positive, sum(CASE WHEN f IS NULL THEN 1 ELSE 0 END) AS negative FROM every LEFT JOIN c USING (region, sample) WHERE coalesce(f, 0) = 0 GROUP BY 1"""
 )
 def positive_negative_samples(t):
-    touched = t.lineitem.where("l_orderkey % 7 = 0").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr("l_suppkey % 20 AS region", "o_custkey % 30 AS sample", "l_returnflag = 'R' AND l_linenumber > 5 AS filtered")
-    s = variants.split_samples(touched, t.orders.selectExpr("o_custkey % 30 AS sample"), t.lineitem.selectExpr("l_suppkey % 20 AS region"))
+    touched = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr("l_suppkey % 20 AS region", "o_custkey AS sample", "l_returnflag = 'R' AND l_linenumber > 5 AS filtered")
+    s = variants.split_samples(touched, t.orders.selectExpr("o_custkey AS sample"), t.lineitem.selectExpr("l_suppkey % 20 AS region"))
     return s.groupBy("sample").agg(F.count(F.lit(1)).alias("regions"), F.sum(F.col("positive").cast("int")).alias("positive"), F.sum((~F.col("positive")).cast("int")).alias("negative"))
 
 

@@ -14,14 +14,17 @@ DOT = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: {0}[i] * {1}[i]
 
 
 def queries_and_support(t):
-    """Vectors 0 to 19 as queries, 20 to 79 as support; each query is set against the support of its own remainder."""
+    """The query set, every vector whose id is divisible by 100, against all other vectors.
+
+    The queries are gathered into one row beside the vectors, so that neither side is shuffled.
+    """
     e = t.embeddings.select("vec_id", "embedding", "label")
-    q = e.where("vec_id < 20").selectExpr("vec_id AS q", "embedding AS a", "label AS la")
-    s = e.where("vec_id >= 20 AND vec_id < 80").selectExpr("vec_id AS s", "embedding AS b", "label AS lb")
-    return q.join(s, F.col("q") % 4 == F.col("s") % 4)
+    book = e.where("vec_id % 100 = 0").agg(F.collect_list(F.struct(F.col("vec_id").alias("q"), F.col("embedding").alias("a"), F.col("label").alias("la"))).alias("book"))
+    pairs = e.selectExpr("vec_id AS s", "embedding AS b", "label AS lb").join(F.broadcast(book)).select("s", "b", "lb", F.explode("book").alias("x"))
+    return pairs.select("x.*", "s", "b", "lb").where("q <> s")
 
 
-QS = f"(SELECT q.vec_id AS q, s.vec_id AS s, q.label AS la, s.label AS lb, {V.replace('embedding', 'q.embedding')} AS a, {V.replace('embedding', 's.embedding')} AS b FROM embeddings q JOIN embeddings s ON q.vec_id < 20 AND s.vec_id >= 20 AND s.vec_id < 80 AND q.vec_id % 4 = s.vec_id % 4)"
+QS = f"(SELECT q.vec_id AS q, s.vec_id AS s, q.label AS la, s.label AS lb, {V.replace('embedding', 'q.embedding')} AS a, {V.replace('embedding', 's.embedding')} AS b FROM embeddings q JOIN embeddings s ON q.vec_id % 100 = 0 AND q.vec_id <> s.vec_id)"
 UNIT = f"(SELECT q, s, la, lb, list_transform(a, lambda x: x / na) AS a, list_transform(b, lambda x: x / nb) AS b, d / (na * nb) AS cos FROM (SELECT *, sqrt({DOT.format('a', 'a')}) AS na, sqrt({DOT.format('b', 'b')}) AS nb, {DOT.format('a', 'b')} AS d FROM {QS}))"
 
 
@@ -38,18 +41,18 @@ def embedding_cosine_argmax(t):
     return embeddings.predict(m, "q", "s", "m", largest=True).select("q", "prediction", F.round("metric", 6).alias("metric"))
 
 
-CODES = f"(SELECT vec_id AS code, {V} AS cv FROM embeddings WHERE vec_id % 50 = 0 AND vec_id < 500)"
+CODES = f"(SELECT vec_id AS code, {V} AS cv FROM embeddings WHERE vec_id % 100 = 0)"
 ASSIGNED = f"(SELECT vec_id, v, arg_min(code, (d, code)) AS code, min(d) AS d FROM (SELECT vec_id, v, code, {SQ.format('v', 'cv')} AS d FROM (SELECT vec_id, {V} AS v FROM embeddings), {CODES}) GROUP BY 1, 2)"
 
 
 def assigned(t):
-    codes = t.embeddings.where("vec_id % 50 = 0 AND vec_id < 500").selectExpr("vec_id AS code", "embedding AS code_vector")
+    codes = t.embeddings.where("vec_id % 100 = 0").selectExpr("vec_id AS code", "embedding AS code_vector")
     return embeddings.assign(t.embeddings.selectExpr("vec_id", "embedding AS vector"), codes), codes
 
 
 @query(f"SELECT vec_id, code, round(d, 6) AS distance FROM {ASSIGNED}")
 def vq_assign(t):
-    """The nearest of ten codes for each vector."""
+    """The nearest code for each vector; the codes are the vectors of the query set."""
     a, _ = assigned(t)
     return a.select("vec_id", "code", F.round("distance", 6).alias("distance"))
 
