@@ -21,6 +21,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """`df` dealt out by `key` over the session's number of shuffle partitions, none of which is merged away for being small: for groups
+    that take long to work on although they have few bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is named, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
