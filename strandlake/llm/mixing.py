@@ -9,7 +9,7 @@
 4. A shard's share of a source is a run of the source's permuted draws, so shards are disjoint; rows of a shard are
    put in the order of a hash.
 
-All steps are DataFrame or SQL functions. Only the table of blocks, at most `blocks` plus one for each source, is joined
+All steps are DataFrame or SQL functions. Only the table of blocks, at most MOST_BLOCKS plus one for each source, is joined
 to the documents; texts are never shuffled for the decision.
 
 Defined cases: null or empty text has size 0 and takes 0 words; a null source is a source of its own and comes last; rows
@@ -26,8 +26,11 @@ from .common import SPACE, cut, numbered, pick, place, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-#: Blocks in all, besides one for each source; fewer where a block would have less than DOCS_A_BLOCK documents.
-BLOCKS = 1024
+#: Blocks in all, besides one for each source: LEAST_BLOCKS, or as many more as make FULL_BLOCK documents each, up to MOST_BLOCKS; but no
+#: block has less than DOCS_A_BLOCK documents.
+LEAST_BLOCKS = 1024
+MOST_BLOCKS = 65536
+FULL_BLOCK = 50_000
 DOCS_A_BLOCK = 32
 SHARDS = 16
 #: Rows of the block table up to which it is broadcast (about 100 bytes each).
@@ -97,14 +100,15 @@ def split_tree(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     return nodes
 
 
-def plan(rows: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = 7) -> DataFrame:
+def plan(rows: DataFrame, shards: int = SHARDS, seed: int = 7) -> DataFrame:
     """The block table: s, nb, b, source_size, target, draws (array of pass, shard, part), cut_h, fit_h, extra."""
     levels = max(shards - 1, 0).bit_length()
     sources = cut(targets(rows))
-    total = sources.agg(F.sum("source_size").alias("total"))
-    sources = sources.join(F.broadcast(total)).withColumn("nb", F.greatest(F.lit(1), F.least(F.ceil(F.col("source_size") * blocks / F.greatest(F.col("total"), F.lit(1))), F.ceil(F.col("docs") / DOCS_A_BLOCK))).cast("long"))
+    blocks = F.least(F.lit(MOST_BLOCKS), F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.sum("docs") / FULL_BLOCK)))
+    total = sources.agg(F.sum("source_size").alias("total"), blocks.alias("blocks"))
+    sources = sources.join(F.broadcast(total)).withColumn("nb", F.greatest(F.lit(1), F.least(F.ceil(F.col("source_size") * F.col("blocks") / F.greatest(F.col("total"), F.lit(1))), F.ceil(F.col("docs") / DOCS_A_BLOCK))).cast("long"))
     sources = sources.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    sources = cut(sources.withColumn("more", F.col("target") - F.col("passes") * F.col("source_size")).drop("total", "docs"))
+    sources = cut(sources.withColumn("more", F.col("target") - F.col("passes") * F.col("source_size")).drop("total", "blocks", "docs"))
     small = F.broadcast if sources.count() <= BROADCAST_ROWS else (lambda x: x)
     same = lambda a, b, *on: [a[c].eqNullSafe(b[c]) for c in on]
 
