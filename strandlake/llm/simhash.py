@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, numbered, pick, place, small_batches, text_or_empty
+from .common import cut, map_texts, numbered, pick, place, text_or_empty
 from .components import components
 from .exact_dedup import repeats
 
