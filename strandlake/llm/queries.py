@@ -63,7 +63,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = [op1_quality_classifier, op2_quality_rules, op3_warc, op4_language_id, op5_pii, op6_token_counts, op7_byte_bpe, op8_simhash, op9_mixing, op10_exact_dedup]
 
 #: Bits 2 to 6 of the ledger, as SQL over the measurements.
-_KEPT = "NOT base_failed AND NOT (10 * n_symbols > n_words OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 3 * n_words OR word_chars > 12 * n_words OR 2 * n_capitals > word_chars)"
+_KEPT = "NOT base_failed AND NOT (10 * n_symbols > n_words OR 100 * n_dup_lines > 50 * n_lines OR word_chars < 3 * n_words OR word_chars > 12 * n_words OR 2 * n_capitals > word_chars)"
 
 SQL = {
     "op2_quality_rules": rf"""
@@ -79,7 +79,7 @@ SQL = {
         b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, {_KEPT} AS kept,
             (CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END) + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END)
-            + (CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END) + (CASE WHEN word_chars < 3 * n_words THEN 16 ELSE 0 END) + (CASE WHEN word_chars > 12 * n_words THEN 32 ELSE 0 END)
+            + (CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END) + (CASE WHEN word_chars < 3 * n_words THEN 16 ELSE 0 END) + (CASE WHEN word_chars > 12 * n_words THEN 32 ELSE 0 END)
             + (CASE WHEN 2 * n_capitals > word_chars THEN 64 ELSE 0 END) AS fail_bits
         FROM b""",
     "op3_warc": """
