@@ -32,10 +32,10 @@ def cigar_span(t):
 
 
 @query(
-    f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_orderkey % 1000 - (l_linenumber % 3 + 1) AS start, regexp_extract_all({CIGAR}, '[0-9]+[MIDNSHP=X]') AS ops FROM lineitem),
+    f"""WITH r AS (SELECT row_number() OVER () AS rid, l_orderkey, l_linenumber, l_partkey, l_orderkey % 1000 - (l_linenumber % 3 + 1) AS start, regexp_extract_all({CIGAR}, '[0-9]+[MIDNSHP=X]') AS ops FROM lineitem),
     o AS (SELECT *, right(ops[i], 1) AS op, left(ops[i], length(ops[i]) - 1)::INT AS n FROM (SELECT *, unnest(range(1, len(ops) + 1)) AS i FROM r)),
     p AS (SELECT *, start + coalesce(sum(CASE WHEN op IN ('M', 'D', 'N', 'S', '=', 'X') THEN n ELSE 0 END) OVER w, 0) AS at0, coalesce(sum(CASE WHEN op IN ('M', 'I', 'S', '=', 'X') THEN n ELSE 0 END) OVER w, 0) AS rd FROM o
-        WINDOW w AS (PARTITION BY l_orderkey, l_linenumber, l_partkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+        WINDOW w AS (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
     SELECT l_orderkey, l_linenumber, l_partkey, op, (greatest(at0, 400) - 400)::BIGINT AS from_col, (least(at0 + n, 420) - 400)::BIGINT AS to_col, (rd + CASE WHEN op <> 'D' THEN greatest(at0, 400) - at0 ELSE 0 END)::BIGINT AS read_from
     FROM p WHERE op <> 'I' AND greatest(at0, 400) < least(at0 + n, 420)"""
 )
