@@ -41,20 +41,26 @@ MOST_BITS = 30
 UNPACKED = 2_000_000
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """The 64-bit SimHash of the word shingles of `text`, A-Z lower-cased; zero without words."""
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """The hash of each word shingle of `text`, A-Z lower-cased; of all words together if they are no more than `size`."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.array([], np.uint64)
     joined = b" ".join(words)
     if len(words) <= size:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    else:
-        gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-        starts = [0, *(gaps[: len(words) - size] + 1).tolist()]
-        ends = [*gaps[size - 1 :].tolist(), len(joined)]
-        shingles = [joined[a:b] for a, b in zip(starts, ends, strict=True)]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    starts = [0, *(gaps[: len(words) - size] + 1).tolist()]
+    ends = [*gaps[size - 1 :].tolist(), len(joined)]
+    shingles = [joined[a:b] for a, b in zip(starts, ends, strict=True)]
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))
+
+
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    """The 64-bit SimHash of the word shingles of `text`, A-Z lower-cased; zero without words."""
+    hashes = shingle_hashes(text, size)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 65536):
         part = hashes[i : i + 65536]
@@ -225,7 +231,12 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Rows that agree in id and text are one document: one of them stays.
     """
-    gone = near_duplicates(df, id_col, text_col).where("NOT doc_id <=> component_id").select("doc_id", "text_hash").distinct()
+    return drop_found(df, near_duplicates(df, id_col, text_col), id_col, text_col)
+
+
+def drop_found(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of `df` that are their component's in `found` (doc_id, text_hash, component_id)."""
+    gone = found.where("NOT doc_id <=> component_id").select("doc_id", "text_hash").distinct()
     id_, text = f"c{place(df, id_col)}", f"c{place(df, text_col)}"
     keyed = numbered(df).withColumn("hash", F.xxhash64(text_or_empty(text)))
     stays = keyed.join(gone, F.col(id_).eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left_anti")

@@ -60,3 +60,25 @@ def test_stages_on_odd_documents(spark, tmp_path):
         docs = f(spark, docs, str(tmp_path))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_near_copies_at_similarity_0_8_are_dropped(spark):
+    import random
+
+    r = random.Random(3)
+    made = []
+    for i in range(30):
+        w = [f"w{r.randrange(5000)}" for _ in range(r.choice([60, 300, 1500]))]
+        made.append((2 * i, " ".join(w)))
+        step = 45 + i
+        copy = [f"x{r.randrange(5000)}" if k % step == step // 2 else x for k, x in enumerate(w)]
+        made.append((2 * i + 1, " ".join(copy)))
+    sets = {i: {tuple(x[k : k + 5]) for k in range(len(x) - 4)} for i, x in ((i, t.split()) for i, t in made)}
+    copies = {i for i in sets if i % 2 and len(sets[i] & sets[i - 1]) >= 0.8 * len(sets[i] | sets[i - 1])}
+    by_print = {i for i in sets if i % 2 and (simhash(made[i][1]) ^ simhash(made[i - 1][1])).bit_count() <= 4}
+    assert len(copies - by_print) > 5  # SimHash alone keeps these
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in made], SCHEMA)
+    for name, f in corpus_pipeline.STAGES:
+        if name.endswith("near-dedup"):
+            docs = f(spark, docs, "")
+    assert {r.doc_id for r in docs.collect()} == set(sets) - copies - by_print
