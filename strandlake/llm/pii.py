@@ -5,8 +5,8 @@ such as spelled-out addresses or numbers in other groupings: a candidate is a ru
 features describe the whole run, and dynamic programming over bounded runs chooses boundaries and kinds jointly. Added
 spans never overlap base ones.
 
-Only runs that hold a digit or an at sign can be named, so the dynamic program is run on windows around such tokens; between
-them every token is `other` in every segmentation, and the result is that of the whole text. Weights are fitted on
+Only runs that hold a digit, an at sign or a spelled `at` or `dot` can be named, so the dynamic program is run on windows around
+such tokens; between them every token is `other` in every segmentation, and the result is that of the whole text. Weights are fitted on
 examples made from a seed, once in the driver; they take no rows of the corpus.
 
 Defined cases: null text counts as empty and has no spans; texts of any length are searched whole; repeated rows are searched
@@ -28,7 +28,7 @@ from .common import map_texts, pick
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 MAX_TOKENS = 5
-#: Tokens on either side of one with a digit or an at sign.
+#: Tokens on either side of one that opens a window.
 CONTEXT = MAX_TOKENS
 #: Characters of the longest candidate span.
 LONGEST = 120
@@ -41,6 +41,8 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _RUN = re.compile(r"\S+")
 _MARK = re.compile(r"[0-9@]")
+#: What opens a window: a mark, or a token that `Window` calls spelled.
+_OPENS = re.compile(r"(?i)[0-9@]|[\[(](?:at|dot)[\])]|(?<!\S)[\[(]?(?:at|dot)[\])]?(?!\S)")
 _EDGE = ".,;:!?\"'<>|[]{}"
 _CUES = {"tel": "call", "telephone": "call", "phone": "call", "call": "call", "mobile": "call", "fax": "call", "mail": "mail", "email": "mail", "contact": "mail", "card": "pay", "visa": "pay", "payment": "pay", "ip": "net", "host": "net", "server": "net", "address": "net"}
 
@@ -171,20 +173,20 @@ class Window:
 
 
 def windows(text: str) -> list[list[tuple[int, int]]]:
-    """Token runs around every token with a digit, an at sign, or a bracketed `at`."""
+    """Token runs around every token with a digit, an at sign, or a spelled `at` or `dot`."""
     out: list[list[tuple[int, int]]] = []
     end = -1
-    for m in re.finditer(r"[0-9@]|[\[(][Aa][Tt][\])]", text):
+    for m in _OPENS.finditer(text):
         if m.start() < end:
             continue
         begin = m.start()
         steps = 0
-        while begin > max(end, 0) and steps < CONTEXT:
-            # Back over one token and the space before it.
+        while begin > max(end, 0) and steps <= CONTEXT:
+            # Back over one token and the space before it; the first is the one that opens the window.
             while begin > max(end, 0) and not text[begin - 1].isspace():
                 begin -= 1
             steps += 1
-            if steps < CONTEXT:
+            if steps <= CONTEXT:
                 while begin > max(end, 0) and text[begin - 1].isspace():
                     begin -= 1
         runs = []
@@ -192,7 +194,7 @@ def windows(text: str) -> list[list[tuple[int, int]]]:
         for t in _RUN.finditer(text, begin):
             runs.append(t.span())
             if t.start() > m.start():
-                left = CONTEXT if _MARK.search(t.group()) else (CONTEXT if left is None else left) - 1
+                left = CONTEXT if _OPENS.search(t.group()) else (CONTEXT if left is None else left) - 1
                 if left <= 0:
                     break
         new_end = runs[-1][1]

@@ -198,6 +198,34 @@ def test_crf_finds_what_the_patterns_miss():
         assert not pii.added_spans(text, model, pii.base_spans(text))
 
 
+def test_crf_windows_equal_the_whole_text():
+    import random
+
+    model, r = pii.fitted(), random.Random(9)
+    text = "write to erin at mail dot com now"
+    assert [(k, text[a:b]) for k, a, b in pii.added_spans(text, model, [])] == [(0, "erin at mail dot com")]
+    parts = ["the", "mail", "erin", "at", "DOT", "com", "[at]", "(dot)", "x(at)y.org", "555-123-4567", "call", "tel", "10", "a@b.de", "one", "two", "three", "four"]
+    for _ in range(1500):
+        text = r.choice(["", " "]) + "".join(r.choice(parts[:6] + parts[-4:] if r.random() < 0.8 else parts) + r.choice([" ", "  ", "\n"]) for _ in range(r.randint(1, 60)))
+        w = pii.Window(text, [m.span() for m in re.finditer(r"\S+", text)])
+        found = [s for x in pii.windows(text) for s in model.best(pii.Window(text, x))]
+        assert abs(path_score(model, w, found) - path_score(model, w, model.best(w))) < 1e-9, text
+
+
+def path_score(model, w, named):
+    """The score of a segmentation of the whole text; segmentations may tie."""
+    places = {(a, b): (i, j, f) for (i, j), (a, b, f) in w.spans.items()}
+    total, at, label = 0.0, 0, 0
+    for k, a, b in named:
+        i, j, f = places[a, b]
+        for _ in range(i - at):
+            total, label = total + model.moves[label, 0], 0
+        total, at, label = total + model.moves[label, k + 1] + model.scores(f)[k + 1], j, k + 1
+    for _ in range(len(w.tokens) - at):
+        total, label = total + model.moves[label, 0], 0
+    return total
+
+
 def test_token_counts(docs):
     import sentencepiece
 
