@@ -75,6 +75,17 @@ def vq_update(t):
     return u.select("code", F.posexplode("code_vector").alias("i", "x")).select("code", (F.col("i") + 1).cast("bigint").alias("i"), F.round("x", 6).alias("x"))
 
 
+@query(
+    f"""WITH a AS {ASSIGNED}, c AS {CODES}, k AS (SELECT code, i, cv[i] AS x FROM (SELECT *, unnest(range(1, len(cv) + 1)) AS i FROM c)), s AS (SELECT code, i, sum(v[i]) AS s, count(*) AS n FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM a) GROUP BY 1, 2),
+    u AS (SELECT k.code, k.i, 0.01 * coalesce(n, 0) AS size, 0.99 * x + 0.01 * coalesce(s, 0) AS total FROM k LEFT JOIN s USING (code, i)), t AS (SELECT sum(size) AS n, count(*) AS k FROM u WHERE i = 1)
+    SELECT u.code, u.i, round(total / ((size + 1e-5) / (n + k * 1e-5) * n), 6) AS x FROM u, t"""
+)
+def vq_update_whole(t):
+    """The codes after one step of moving averages, in all 64 dimensions."""
+    u = embeddings.update_codes(*assigned(t), 64)
+    return u.select("code", F.posexplode("code_vector").alias("i", "x")).select("code", (F.col("i") + 1).cast("bigint").alias("i"), F.round("x", 6).alias("x"))
+
+
 RANKED = f"(SELECT q, s, sqrt({SQ.format('a', 'b')}) AS m, CASE WHEN la = lb THEN 1 WHEN s % 5 = 0 THEN 2 WHEN s % 3 = 0 THEN 3 ELSE 0 END AS r FROM {UNIT})"
 
 

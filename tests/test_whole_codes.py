@@ -1,0 +1,15 @@
+"""The whole job, beside queries that stop short of it."""
+
+from strandlake.plans import driver
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def rows(spark, name):
+    return {tuple(r) for r in driver.QUERIES[name](spark, FOLDER).collect()}
+
+
+def test_codes_are_updated_in_all_dimensions(spark):
+    part, whole = rows(spark, "vq_update"), rows(spark, "vq_update_whole")
+    print("FIG vq", len(part), len(whole))
+    assert part <= whole and {i for _, i, _ in whole} == set(range(1, 65))
