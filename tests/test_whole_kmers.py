@@ -1,0 +1,19 @@
+"""The whole job, beside queries that stop short of it."""
+
+from strandlake.plans import driver
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def rows(spark, name):
+    return {tuple(r) for r in driver.QUERIES[name](spark, FOLDER).collect()}
+
+
+def test_kmers_of_any_letters_and_counts(spark):
+    for name in ("kmer_count", "kmer_reference_exclusion"):
+        part, whole = rows(spark, name), rows(spark, f"{name}_whole")
+        print("FIG", name, len(part), len(whole))
+        assert part < whole
+    part, whole = ({v.split("\n", 1)[1] for (v,) in rows(spark, n)} for n in ("kmer_fasta", "kmer_fasta_whole"))
+    print("FIG kmer_fasta", len(part), len(whole))
+    assert part < whole and any(" " in k for k in whole)
