@@ -51,6 +51,18 @@ def path_enumerate(t):
     return graphs.walks(edges(t), ["region"], 3).select("region", F.array_join("nodes", "-").alias("nodes"))
 
 
+@query(f"WITH RECURSIVE e AS (SELECT * FROM {EDGES}), r(region, src, dst) AS (SELECT region, src, dst FROM e UNION SELECT r.region, r.src, e.dst FROM r JOIN e ON r.region = e.region AND r.dst = e.src) SELECT region, src, dst FROM r")
+def reachability_whole(t):
+    """All pairs of nodes with a walk between them: a region of twelve nodes has walks of eleven edges at most."""
+    return graphs.reachability(edges(t), ["region"], 16)
+
+
+@query(f"WITH RECURSIVE e AS (SELECT * FROM {EDGES}), r(region, nodes, dst) AS (SELECT region, [src, dst], dst FROM e UNION ALL SELECT r.region, list_append(r.nodes, e.dst), e.dst FROM r JOIN e ON r.region = e.region AND r.dst = e.src) SELECT region, array_to_string(nodes, '-') AS nodes FROM r")
+def path_enumerate_whole(t):
+    """All walks; none has more than the eleven edges of a region of twelve nodes."""
+    return graphs.walks(edges(t), ["region"], 11).select("region", F.array_join("nodes", "-").alias("nodes"))
+
+
 #: A region of one contig: thirty-two bases for each part, with a record inside.
 SQL_DNA = "translate(md5(p_partkey::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT')"
 

@@ -1,0 +1,18 @@
+"""The whole job, beside queries that stop short of it."""
+
+from strandlake.plans import driver
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def rows(spark, name):
+    return {tuple(r) for r in driver.QUERIES[name](spark, FOLDER).collect()}
+
+
+def test_walks_of_any_length(spark):
+    part, whole = rows(spark, "path_enumerate"), rows(spark, "path_enumerate_whole")
+    print("FIG path", len(part), len(whole))
+    assert part < whole and max(n.count("-") for _, n in whole) > 3
+    near, far = rows(spark, "reachability"), rows(spark, "reachability_whole")
+    print("FIG reach", len(near), len(far))
+    assert near <= far and far == {(g, int(n.split("-")[0]), int(n.split("-")[-1])) for g, n in whole}
