@@ -58,6 +58,13 @@ def length_change(t):
     return records(t).select("p_partkey", fn.length_change("ref", F.element_at("alts", 1)).alias("change"))
 
 
+@query(f"SELECT p_partkey, allele, CASE WHEN alt <> '*' THEN length(alt) - length(ref) END AS change FROM {ALLELES}")
+def length_change_whole(t):
+    """The change of length of every ALT."""
+    a = records(t).select("p_partkey", "ref", F.posexplode("alts").alias("i", "alt"))
+    return a.select("p_partkey", (F.col("i") + 1).cast("bigint").alias("allele"), fn.length_change("ref", F.col("alt")).alias("change"))
+
+
 @query(f"SELECT p_partkey, max(CASE WHEN alt <> '*' AND abs(length(alt) - length(ref)) >= 3 THEN 1 ELSE 0 END) = 1 AS sv, min(CASE WHEN alt = '*' THEN 1 ELSE 0 END) = 1 AS star_only FROM {ALLELES} GROUP BY 1")
 def sv_size_filter(t):
     return records(t).select("p_partkey", fn.is_sv("ref", "alts", 3).alias("sv"), fn.star_only("alts").alias("star_only"))

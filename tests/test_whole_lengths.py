@@ -1,0 +1,11 @@
+"""The whole job, beside a query that stops short of it."""
+
+from strandlake.plans import driver
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def test_whole_changes_of_length(spark):
+    part, whole = ({tuple(r) for r in driver.QUERIES[n](spark, FOLDER).collect()} for n in ("length_change", "length_change_whole"))
+    print("FIG len", len(part), len(whole))
+    assert len(whole) > len(part) and {(p, c) for p, i, c in whole if i == 1} == part
