@@ -169,9 +169,10 @@ def languages(samples: tuple[tuple[str, str], ...]) -> Languages:
 def sample(df: DataFrame, learn) -> tuple[tuple[str, str], ...]:
     """Bounded labelled text of each language. One count for each language sets a bar on a hash, which few rows pass."""
     text = F.col("text")
-    rows = df.where(learn & F.col("lang").isNotNull() & text.rlike(r"\p{L}")).select(F.col("lang").alias("lang"), F.substring(text, 1, CHARS_A_DOC).alias("t"), F.xxhash64("doc_id", text).alias("h"))
+    able = df.where(learn & F.col("lang").isNotNull() & text.rlike(r"\p{L}"))
+    rows = able.select(F.col("lang").alias("lang"), F.substring(text, 1, CHARS_A_DOC).alias("t"), F.xxhash64("doc_id", text).alias("h"))
     rows = rows.withColumn("at", F.shiftrightunsigned("h", 11) / float(1 << 53))
-    counts = df.where(learn & F.col("lang").isNotNull()).groupBy(F.col("lang").alias("l")).agg(F.count(F.lit(1)).alias("n"))
+    counts = able.groupBy(F.col("lang").alias("l")).agg(F.count(F.lit(1)).alias("n"))
     few = rows.join(F.broadcast(counts), F.col("lang") == F.col("l")).where(F.col("at") * F.col("n") <= 3 * DOCS_A_LANGUAGE)
     first = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("k") <= DOCS_A_LANGUAGE)
     by_lang: dict[str, list[str]] = defaultdict(list)

@@ -137,6 +137,13 @@ def test_languages(docs):
             assert r.lang_pred in {"en", "fr", "de"}
 
 
+def test_whole_language_sample_among_empty_rows(spark):
+    rare = spark.range(40).selectExpr("id AS doc_id", "'xx' AS lang", "concat('words of it ', id) AS text")
+    empty = spark.range(1000, 101000).selectExpr("id AS doc_id", "'xx' AS lang", "'12 !' AS text")
+    ((lang, text),) = language_id.sample(rare.union(empty), F.lit(True))
+    assert lang == "xx" and text.count("words of it") == 40
+
+
 def test_phrases_are_greedy_longest_matches():
     samples = (("a", "der die das und nicht"), ("b", "the and that not under"))
     got = language_id.Languages(samples).phrases(list_ := ["der", "under", "xyz", "thatdas", "d", "ünd"])
