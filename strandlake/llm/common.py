@@ -51,14 +51,16 @@ def crc_fold(id_col: str, folds: int) -> Column:
 
 #: Bytes of an Arrow batch between the JVM and Python; both sides hold a few of them for each task.
 BATCH_BYTES = 8 << 20
+#: Rows that a scan decodes at once: a column of texts is held whole for as many rows.
+SCAN_ROWS = 512
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session: texts are long, and a batch's row count says little about its size."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name).lower().rstrip("b")
-    if not now.isdigit() or int(now) > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
+    """Bound what this session holds of a scan and of an Arrow batch: texts are long, and a count of rows says little about their size."""
+    for name, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", SCAN_ROWS)):
+        now = spark.conf.get(name).lower().rstrip("b")
+        if not now.isdigit() or int(now) > most:
+            spark.conf.set(name, str(most))
 
 
 def map_texts(df: DataFrame, keep: list[str], text_col: str, schema: str, work: Callable[[list[str]], dict[str, Iterable]], block_bytes: int = 0) -> DataFrame:

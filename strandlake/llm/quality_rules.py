@@ -5,9 +5,9 @@ versioned masks over the bits, so applying one, changing one, or asking what a r
 
 All steps are DataFrame or SQL functions within a row: nothing is shuffled to build the ledger.
 
-Words repeated in 3-word windows are found by sorting the windows' 64-bit hashes: values that occur twice are the
-repeated windows. Few of them are looked up directly; many are found by a second sort that carries positions, so the work
-is n log n for any text.
+Words repeated in 3-word windows: a text whose windows all differ in their 64-bit hashes has none. In any other, windows
+are sorted by hash, words and position, so that equal ones stand side by side: n log n for any text, and no two windows are
+taken for equal by their hashes alone.
 
 Defined cases: null text counts as the empty text, which fails `few_words`; a null id is kept as it is; repeated rows get a
 ledger row each; an empty table gives an empty ledger; extra columns are ignored and may have any name.
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, pick, text_or_empty
+from .common import SPACE, pick, small_batches, text_or_empty
 
 #: name -> SQL condition of failure over the measurements; the place in this list is the bit.
 RULES = {
@@ -35,33 +35,38 @@ BASE = BIT["few_words"] | BIT["repeated_words"]
 #: version -> mask of the rules that a document must not fail.
 POLICIES = {"base": BASE, "v1": BASE | BIT["symbols"] | BIT["duplicate_lines"], "v2": sum(BIT.values())}
 CURRENT = "v2"
-#: Repeated windows up to which each window is looked up among them; beyond it a sort finds them.
-LOOKUP = 48
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals"]
 
 
 def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the measurements, all long."""
+    small_batches(df.sparkSession)
     t = pick(df, doc_id=id_col, text=text_col).select("doc_id", text_or_empty().alias("t"))
-    t = t.select("doc_id", "t", F.filter(F.split("t", SPACE), lambda x: x != "").alias("w"), F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
+    t = t.select("doc_id", "t", F.array_remove(F.split("t", SPACE), "").alias("w"), F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     t = t.selectExpr(
         "doc_id",
         "cast(size(w) AS bigint) AS n_words",
         "cast(length(array_join(w, '')) AS bigint) AS word_chars",
-        "cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '')) AS bigint) AS n_symbols",
-        "cast(length(t) - length(regexp_replace(t, '[A-Z]', '')) AS bigint) AS n_capitals",
+        # Symbols and capitals alone: one pass over the text for both.
+        "regexp_replace(t, '[^#*$%&|<>A-Z]+', '') AS marks",
         "cast(size(lines) AS bigint) AS n_lines",
         "cast(size(lines) - size(array_distinct(lines)) AS bigint) AS n_dup_lines",
+        "w",
         "transform(slice(w, 1, greatest(size(w) - 2, 0)), (x, i) -> xxhash64(x, w[i + 1], w[i + 2])) AS h",
     )
-    t = t.select("*", F.sort_array("h").alias("s")).selectExpr("*", "array_distinct(filter(zip_with(s, slice(s, 2, greatest(size(s), 1)), (a, b) -> if(a = b, a, null)), x -> x IS NOT NULL)) AS twice")
-    looked_up = "filter(transform(h, (x, i) -> if(array_contains(twice, x), i, null)), i -> i IS NOT NULL)"
-    by_sort = """transform(array(sort_array(transform(h, (x, i) -> struct(x, i)))),
-        p -> sort_array(array_distinct(flatten(filter(zip_with(p, slice(p, 2, size(p)), (a, b) -> if(a.x = b.x, array(a.i, b.i), null)), x -> x IS NOT NULL)))))[0]"""
-    t = t.selectExpr("* except (h, s, twice)", f"CASE WHEN size(twice) = 0 THEN cast(array() AS array<int>) WHEN size(twice) <= {LOOKUP} THEN {looked_up} ELSE {by_sort} END AS at")
-    covered = "aggregate(at, struct(-3 AS last, 0L AS n), (a, i) -> struct(i AS last, a.n + least(3, i - a.last) AS n)).n"
-    return t.selectExpr("doc_id", *[f"{covered} AS n_repeat_words" if m == "n_repeat_words" else m for m in MEASURES])
+    # The words stand in the sort key after the hash: windows side by side are equal only if their words are.
+    by_sort = """transform(array(sort_array(transform(h, (x, i) -> struct(x, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c, i)))),
+        p -> sort_array(array_distinct(flatten(filter(zip_with(p, slice(p, 2, size(p)), (l, r) -> if(l.x = r.x AND l.a = r.a AND l.b = r.b AND l.c = r.c, array(l.i, r.i), null)), x -> x IS NOT NULL)))))[0]"""
+    covered = f"aggregate({by_sort}, struct(-3 AS last, 0L AS n), (a, i) -> struct(i AS last, a.n + least(3, i - a.last) AS n)).n"
+    symbols = "length(regexp_replace(marks, '[A-Z]+', ''))"
+    made = {
+        "n_symbols": f"cast({symbols} AS bigint)",
+        "n_capitals": f"cast(length(marks) - {symbols} AS bigint)",
+        # Different hashes are different windows.
+        "n_repeat_words": f"CASE WHEN size(array_distinct(h)) = size(h) THEN 0L ELSE {covered} END",
+    }
+    return t.selectExpr("doc_id", *[f"{made.get(m, m)} AS {m}" for m in MEASURES])
 
 
 def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
