@@ -78,6 +78,10 @@ def _number(x, alternative: str = "."):
     return F.coalesce(x.cast("string"), F.lit(alternative))
 
 
+def _has_filter(df: DataFrame) -> bool:
+    return "ft" in df.select(F.explode("samples").alias("s")).select("s.*").columns if "samples" in df.columns else False
+
+
 def genotype_text(gt, phase):
     """`0|1` for phased calls, else `0/1`."""
     numbers = F.transform(gt, lambda a: _number(a))
@@ -86,19 +90,27 @@ def genotype_text(gt, phase):
 
 
 def lines(df: DataFrame, names: list[str], extra: dict[str, str] | None = None) -> DataFrame:
-    """(contig, pos, line) of records. `extra`: FORMAT keys besides GT and PS, with the columns that hold a map by sample name."""
+    """(contig, pos, line) of records. FORMAT has PS if any call of a record is phased within a set, and FT if any has a filter.
+
+    `extra`: FORMAT keys besides these, with the columns that hold a map by sample name.
+    """
     extra = extra or {}
-    keys = ["GT", *extra]
+    with_set = F.exists("samples", lambda s: F.coalesce(s["phase"]["kind"] == "local", F.lit(False)))
+    filtered = F.exists("samples", lambda s: s["ft"].isNotNull()) if _has_filter(df) else F.lit(False)
+    keys = F.concat_ws(":", F.lit("GT"), F.when(with_set, "PS"), F.when(filtered, "FT"), *map(F.lit, extra))
 
     def cell(name: str):
         s = F.element_at(F.filter("samples", lambda x: x["name"] == name), 1)
-        return F.concat_ws(":", genotype_text(s["gt"], s["phase"]), *[F.coalesce(F.try_element_at(F.col(c), F.lit(name)).cast("string"), F.lit(".")) for c in extra.values()])
+        own = F.when(s["phase"]["kind"] == "local", s["phase"]["ps"])
+        ft = s["ft"] if _has_filter(df) else F.lit(None).cast("string")
+        # concat_ws leaves out the keys that the record lacks, which are null here.
+        return F.concat_ws(":", genotype_text(s["gt"], s["phase"]), F.when(with_set, _number(own)), F.when(filtered, _number(ft)), *[F.coalesce(F.try_element_at(F.col(c), F.lit(name)).cast("string"), F.lit(".")) for c in extra.values()])
 
     info = F.array_join(F.transform(F.array_sort(F.map_entries(F.coalesce("info", F.create_map().cast("map<string,string>")))), lambda e: F.when(e["value"].isNull(), e["key"]).otherwise(F.concat(e["key"], F.lit("="), e["value"]))), ";")
     alts = F.when(F.size("alts") == 0, ".").otherwise(F.array_join("alts", ","))
     filters = F.when(F.size("filters") == 0, ".").otherwise(F.array_join("filters", ";"))
     qual = F.when(F.col("qual").isNull(), ".").when(F.col("qual") == F.floor("qual"), F.col("qual").cast("bigint").cast("string")).otherwise(F.col("qual").cast("string"))
-    fields = ["contig", (F.col("pos") + 1).cast("string"), F.coalesce("id", F.lit(".")), "ref", alts, qual, filters, F.when(info == "", ".").otherwise(info), *([F.lit(":".join(keys)), *map(cell, names)] if names else [])]
+    fields = ["contig", (F.col("pos") + 1).cast("string"), F.coalesce("id", F.lit(".")), "ref", alts, qual, filters, F.when(info == "", ".").otherwise(info), *([keys, *map(cell, names)] if names else [])]
     return df.select("contig", "pos", F.concat_ws("\t", *fields).alias("line"))
 
 
