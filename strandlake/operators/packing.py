@@ -5,7 +5,10 @@ Greedy packing looks at one row after another, so it is done shard by shard: a s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,20 +16,29 @@ from pyspark.sql.window import Window
 def greedy(df: DataFrame, shard: str, order: str, size: str, limit: int) -> DataFrame:
     """(shard, order, size, batch, begin): a row goes to the current batch if it fits, else a new one begins. A row over the limit is an error.
 
-    The rows of a shard are folded in order by one expression.
+    A shard's rows are sorted in one task, which may spill, and go through the packer one Arrow batch after the other: only the current
+    batch's number and fill are held.
     """
-    rows = df.groupBy(shard).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("bigint").alias("z")))).alias("__rows"))
-    kind = "array<struct<o:bigint,z:bigint,batch:int,at:bigint>>"
-    folded = rows.selectExpr(
-        f"`{shard}`",
-        f"""aggregate(__rows, named_struct('used', 0L, 'batch', 0, 'n', 0L, 'out', cast(array() AS {kind})),
-            (a, r) -> if(r.z > {limit}, raise_error('a row is larger than a batch'),
-                if(a.used + r.z > {limit},
-                    named_struct('used', r.z, 'batch', a.batch + 1, 'n', 1L, 'out', concat(a.out, array(named_struct('o', r.o, 'z', r.z, 'batch', a.batch + 1, 'at', 0L)))),
-                    named_struct('used', a.used + r.z, 'batch', a.batch, 'n', a.n + 1, 'out', concat(a.out, array(named_struct('o', r.o, 'z', r.z, 'batch', a.batch, 'at', a.used)))))),
-            a -> a.out) AS p""",
-    )
-    return folded.select(shard, F.explode("p").alias("p")).select(shard, F.col("p.o").alias(order), F.col("p.z").alias(size), F.col("p.batch").alias("batch"), F.col("p.at").alias("begin"))
+    rows = df.select(shard, F.col(order).cast("bigint").alias(order), F.col(size).cast("bigint").alias(size))
+    kind = rows.schema[shard].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, batch, used, begun = None, 0, 0, False
+        for b in batches:
+            numbers, begins = [], []
+            for s, z in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if not begun or s != now:
+                    now, batch, used, begun = s, 0, 0, True
+                if z > limit:
+                    raise ValueError(f"a row of {z} is larger than a batch of {limit}")
+                if used + z > limit:
+                    batch, used = batch + 1, 0
+                numbers.append(batch)
+                begins.append(used)
+                used += z
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(numbers, pa.int32()), pa.array(begins, pa.int64())], names=[shard, order, size, "batch", "begin"])
+
+    return rows.repartition(shard).sortWithinPartitions(shard, order).mapInArrow(pack, f"`{shard}` {kind}, `{order}` bigint, `{size}` bigint, batch int, begin bigint")
 
 
 def offsets(packed: DataFrame, shard: str, order: str, support: str) -> DataFrame:
@@ -42,9 +54,10 @@ def repeated_labels(ranks, replicates: int):
 
 
 def batch_labels(packed: DataFrame, shard: str, order: str, labels: str, limit: int, pad: bool = True, padding: int = -100) -> DataFrame:
-    """(shard, batch, labels): a batch's labels one after the other, padded to `limit`."""
+    """(shard, batch, labels): a batch's labels one after the other, padded to `limit`; more of them are an error."""
     joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(labels).alias("l")))), lambda x: x["l"]))
     out = packed.groupBy(shard, "batch").agg(joined.alias("labels"))
+    out = out.withColumn("labels", F.when(F.size("labels") > limit, F.raise_error(F.lit(f"a batch has more than {limit} labels"))).otherwise(F.col("labels")))
     return out.withColumn("labels", F.concat("labels", F.array_repeat(F.lit(padding), F.lit(limit) - F.size("labels")))) if pad else out
 
 
@@ -57,3 +70,11 @@ def shuffled(df: DataFrame, key: str, seed: int, shards: int) -> DataFrame:
 def shard_lengths(df: DataFrame, shard: str, order: str, length: str) -> DataFrame:
     """(shard, samples, lengths): the lengths of a shard's rows in order."""
     return df.groupBy(shard).agg(F.count(F.lit(1)).alias("samples"), F.transform(F.array_sort(F.collect_list(F.struct(order, length))), lambda x: x[length]).alias("lengths"))
+
+
+def expanded(queries: DataFrame, supports: DataFrame, by: list[str], metric: Column) -> DataFrame:
+    """(by, index, metric): each query beside every one of its supports, a ragged row for each query.
+
+    `queries`: by and query; `supports`: by, index and support; `metric` is of the columns query and support.
+    """
+    return supports.join(queries, by).select(*by, "index", metric.alias("metric"))
