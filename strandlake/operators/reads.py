@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..config import Pileup
 from ..functions import alignment, intervals, pixels, sequences
+from .intervals import overlap_join
 
 
 def primary(df: DataFrame) -> DataFrame:
@@ -121,12 +122,32 @@ def select_channels(img: DataFrame, channels: tuple[int, ...]) -> DataFrame:
 
 
 def resize(img: DataFrame, by: list[str], from_size: tuple[str, str], to_size: tuple[int, int]) -> DataFrame:
-    """Nearest-neighbour resize to (height, width): each target cell takes the source cell under its centre."""
+    """Bilinear resize to (height, width), cell centres at half steps: each target cell is the weighted mean of the four source cells
+    about its centre, rounded half to even; beyond the edge the edge's cell counts, and cells that are not set are 0. Cells without any
+    set source cell are left out.
+
+    A source cell is dealt to the target cells that it takes part in, so the work follows the set cells.
+    """
     h, w = from_size
-    rows = F.explode(F.sequence(F.lit(0), F.lit(to_size[0] - 1)))
-    cells = img.select(*by, h, w).distinct().select("*", rows.alias("to_row")).select("*", F.explode(F.sequence(F.lit(0), F.lit(to_size[1] - 1))).alias("to_col"))
-    cells = cells.withColumn("row", F.floor((F.col("to_row") + 0.5) * F.col(h) / to_size[0]).cast("int")).withColumn("col", F.floor((F.col("to_col") + 0.5) * F.col(w) / to_size[1]).cast("int"))
-    return cells.join(img.drop(h, w), [*by, "row", "col"]).select(*by, F.col("to_row").alias("row"), F.col("to_col").alias("col"), "channels")
+
+    def shares(at: str, size: str, to: int) -> Column:
+        """(cell, weight) of the target cells along one axis that source cell `at` takes part in."""
+        n = F.col(size)
+        first = F.greatest(F.lit(0), F.floor((F.col(at) - 0.5) * to / n - 0.5).cast("int") - 1)
+        last = F.least(F.lit(to - 1), F.ceil((F.col(at) + 1.5) * to / n - 0.5).cast("int") + 1)
+
+        def weight(t: Column) -> Column:
+            place = F.least(F.greatest((t + 0.5) * n / to - 0.5, F.lit(0.0)), (n - 1).cast("double"))
+            return F.greatest(F.lit(0.0), 1 - F.abs(place - F.col(at)))
+
+        return F.filter(F.transform(F.sequence(first, last), lambda t: F.struct(t.alias("cell"), weight(t).alias("weight"))), lambda x: x["weight"] > 0)
+
+    cells = img.select(*by, "channels", F.explode(shares("row", h, to_size[0])).alias("r"), "col", w)
+    cells = cells.select(*by, "channels", "r", F.explode(shares("col", w, to_size[1])).alias("c"))
+    parts = cells.select(*by, F.col("r.cell").alias("row"), F.col("c.cell").alias("col"), F.posexplode("channels").alias("channel", "value"), (F.col("r.weight") * F.col("c.weight")).alias("weight"))
+    # Nulls of a channel count as 0.
+    sums = parts.groupBy(*by, "row", "col", "channel").agg(F.bround(F.sum(F.coalesce("value", F.lit(0)) * F.col("weight")), 0).cast("int").alias("value"))
+    return sums.groupBy(*by, "row", "col").agg(F.transform(F.array_sort(F.collect_list(F.struct("channel", "value"))), lambda x: x["value"]).alias("channels"))
 
 
 def allele_scores(scores: DataFrame, by: list[str]) -> DataFrame:
@@ -151,3 +172,43 @@ def best_pairs(candidates: DataFrame, by: list[str], mean: float, sd: float) ->
     good = (F.col("v1") != F.col("v2")) & (F.when(F.col("v1"), F.col("p2") <= F.col("p1")).otherwise(F.col("p1") <= F.col("p2")))
     density = alignment.insert_density(size, F.lit(None).cast("map<bigint,double>"), F.lit(mean), F.lit(sd))
     return pairs.select(*by, "allele", alignment.pair_score("s1", "s2", density, good).alias("score"))
+
+
+def in_regions(reads: DataFrame, regions: DataFrame) -> DataFrame:
+    """`reads` (of `with_region`) of each region that they overlap, with region, region_start and region_end.
+
+    `regions`: (region, contig, start, end).
+    """
+    a = regions.select("contig", "region", F.col("start").alias("l_start"), F.col("end").alias("l_end"))
+    names = [c for c in reads.columns if c not in ("contig", "start", "end")]
+    b = reads.select("contig", F.col("start").alias("r_start"), F.col("end").alias("r_end"), *names)
+    pairs = overlap_join(a, b)
+    return pairs.select("region", F.col("l_start").alias("region_start"), F.col("l_end").alias("region_end"), "contig", F.col("r_start").alias("start"), F.col("r_end").alias("end"), *names)
+
+
+def clipped_inserts(pairs: DataFrame, regions: DataFrame) -> DataFrame:
+    """(region, qname, start, end): the part of each fragment's gap between its reads that lies in a region.
+
+    `pairs`: of `insert_sizes`, with contig.
+    """
+    a = regions.select("contig", "region", F.col("start").alias("l_start"), F.col("end").alias("l_end"))
+    b = pairs.where("gap_start < gap_end").select("contig", "qname", F.col("gap_start").alias("r_start"), F.col("gap_end").alias("r_end"))
+    start, end = intervals.intersection("l_start", "l_end", "r_start", "r_end")
+    return overlap_join(a, b).select("region", "qname", start.alias("start"), end.alias("end"))
+
+
+def region_images(reads: DataFrame, regions: DataFrame, mean: float, sd: float, p: Pileup = Pileup(), read_length: int = 150, size: tuple[int, int] | None = None) -> DataFrame:
+    """(region, row, col, channels): from reads as they are read to one image for each region, of `size` (height, width) if it is given.
+
+    Regions are (region, contig, start, end, sequence). Reads of a region are capped by its width, shown against its sequence, and beside
+    their pair's insert size; every step is keyed by region, and a region with more reads than its cap drops reads by the cap alone.
+    """
+    whole = with_region(primary(reads))
+    pairs = insert_sizes(fragments(whole), mean, sd).select("qname", "zscore")
+    shown = in_regions(whole, regions).join(pairs, "qname", "left").join(regions.select("region", F.upper("sequence").alias("sequence")), "region")
+    shown = capped(shown, ["region"], max_reads(F.col("region_end") - F.col("region_start"), p.height, read_length))
+    img = image(columns(shown, reference="sequence"), ["region"], p)
+    if size is None:
+        return img
+    wide = regions.select("region", F.lit(p.height).alias("__h"), (F.col("end") - F.col("start")).cast("int").alias("__w"))
+    return resize(img.join(wide, "region"), ["region"], ("__h", "__w"), size)
