@@ -18,18 +18,18 @@ def edges(t):
     return e.where("(p_partkey + d) div 12 = p_partkey div 12").selectExpr("p_partkey div 12 AS region", "p_partkey AS src", "p_partkey + d AS dst").distinct()
 
 
-@query(f"WITH RECURSIVE e AS (SELECT * FROM {EDGES}), r(region, src, dst, n) AS (SELECT region, src, dst, 1 FROM e UNION SELECT r.region, r.src, e.dst, r.n + 1 FROM r JOIN e ON r.region = e.region AND r.dst = e.src WHERE r.n < 4) SELECT DISTINCT region, src, dst FROM r")
+@query(f"WITH RECURSIVE e AS (SELECT * FROM {EDGES}), r(region, src, dst) AS (SELECT region, src, dst FROM e UNION SELECT r.region, r.src, e.dst FROM r JOIN e ON r.region = e.region AND r.dst = e.src) SELECT region, src, dst FROM r")
 def reachability(t):
-    """Pairs of nodes within four edges."""
-    return graphs.reachability(edges(t), ["region"], 4)
+    """All pairs of nodes with a walk between them."""
+    return graphs.reachability(edges(t), ["region"])
 
 
 @query(
-    f"""WITH RECURSIVE e AS (SELECT * FROM {EDGES}), r(region, node, n) AS (SELECT DISTINCT region, src, 0 FROM e WHERE (region, src) NOT IN (SELECT (region, dst) FROM e) UNION SELECT r.region, e.dst, r.n + 1 FROM r JOIN e ON r.region = e.region AND r.node = e.src WHERE r.n < 12)
+    f"""WITH RECURSIVE e AS (SELECT * FROM {EDGES}), r(region, node, n) AS (SELECT DISTINCT region, src, 0 FROM e WHERE (region, src) NOT IN (SELECT (region, dst) FROM e) UNION SELECT r.region, e.dst, r.n + 1 FROM r JOIN e ON r.region = e.region AND r.node = e.src)
     SELECT region, node, max(n)::INT AS rank FROM r GROUP BY 1, 2"""
 )
 def topological_rank(t):
-    return graphs.topological_rank(edges(t), ["region"], 12)
+    return graphs.topological_rank(edges(t), ["region"])
 
 
 @query(f"WITH e AS (SELECT * FROM {EDGES}), b AS (SELECT region, src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT region, dst, 1, 0 FROM e) SELECT region, node, sum(i) AS n_in, sum(o) AS n_out FROM b GROUP BY 1, 2")
@@ -45,24 +45,13 @@ def bubble_check(t):
     return graphs.bubbles(edges(t), ["region"])
 
 
-@query(f"WITH RECURSIVE e AS (SELECT * FROM {EDGES}), r(region, nodes, dst) AS (SELECT region, [src, dst], dst FROM e UNION ALL SELECT r.region, list_append(r.nodes, e.dst), e.dst FROM r JOIN e ON r.region = e.region AND r.dst = e.src WHERE len(r.nodes) < 4) SELECT region, array_to_string(nodes, '-') AS nodes FROM r")
-def path_enumerate(t):
-    """Walks of up to three edges."""
-    return graphs.walks(edges(t), ["region"], 3).select("region", F.array_join("nodes", "-").alias("nodes"))
-
-
-@query(f"WITH RECURSIVE e AS (SELECT * FROM {EDGES}), r(region, src, dst) AS (SELECT region, src, dst FROM e UNION SELECT r.region, r.src, e.dst FROM r JOIN e ON r.region = e.region AND r.dst = e.src) SELECT region, src, dst FROM r")
-def reachability_whole(t):
-    """All pairs of nodes with a walk between them: a region of twelve nodes has walks of eleven edges at most."""
-    return graphs.reachability(edges(t), ["region"], 16)
-
-
 @query(f"WITH RECURSIVE e AS (SELECT * FROM {EDGES}), r(region, nodes, dst) AS (SELECT region, [src, dst], dst FROM e UNION ALL SELECT r.region, list_append(r.nodes, e.dst), e.dst FROM r JOIN e ON r.region = e.region AND r.dst = e.src) SELECT region, array_to_string(nodes, '-') AS nodes FROM r")
-def path_enumerate_whole(t):
+def path_enumerate(t):
     """All walks; none has more than the eleven edges of a region of twelve nodes."""
     return graphs.walks(edges(t), ["region"], 11).select("region", F.array_join("nodes", "-").alias("nodes"))
 
 
+
 #: A region of one contig: thirty-two bases for each part, with a record inside.
 SQL_DNA = "translate(md5(p_partkey::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT')"
 
@@ -203,14 +192,14 @@ def truth_rank(t):
 
 
 @query(
-    """WITH d AS (SELECT DISTINCT l_suppkey % 6 AS haplotype, l_partkey AS variant_id, (l_linenumber % 3)::INT AS allele FROM lineitem), s AS (SELECT DISTINCT l_partkey AS variant_id, 3 AS allele FROM lineitem), h AS (SELECT DISTINCT haplotype FROM d)
-    SELECT * FROM d UNION SELECT h.haplotype, s.variant_id, s.allele FROM s, h WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.haplotype = h.haplotype AND d.variant_id = s.variant_id AND d.allele > 0)"""
+    """WITH d AS (SELECT DISTINCT l_partkey // 20 AS region, l_suppkey % 6 AS haplotype, l_partkey AS variant_id, (l_linenumber % 3)::INT AS allele FROM lineitem), s AS (SELECT DISTINCT region, variant_id, 3 AS allele FROM d), h AS (SELECT DISTINCT region, haplotype FROM d)
+    SELECT * FROM d UNION SELECT h.region, h.haplotype, s.variant_id, s.allele FROM s JOIN h USING (region) WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.haplotype = h.haplotype AND d.variant_id = s.variant_id AND d.allele > 0)"""
 )
 def allele_compatibility(t):
-    """Alleles that go with each haplotype, `*` where it shows none of the other ALTs."""
-    d = t.lineitem.selectExpr("l_suppkey % 6 AS haplotype", "l_partkey AS variant_id", "cast(l_linenumber % 3 AS int) AS allele").distinct()
-    s = t.lineitem.selectExpr("l_partkey AS variant_id", "3 AS allele").distinct().withColumn("n_alleles", F.lit(4))
-    return haplotypes.compatible(d, s, d)
+    """Alleles that go with each haplotype of a region, `*` where it shows none of the other ALTs."""
+    d = t.lineitem.selectExpr("l_partkey div 20 AS region", "l_suppkey % 6 AS haplotype", "l_partkey AS variant_id", "cast(l_linenumber % 3 AS int) AS allele").distinct()
+    s = d.selectExpr("region", "variant_id", "3 AS allele").distinct().withColumn("n_alleles", F.lit(4))
+    return haplotypes.compatible(d, s, d, ["region"])
 
 
 @query()
@@ -222,3 +211,21 @@ def topk_genotype(t):
     regions, records = region_tables(t)
     counts = haplotypes.unique_kmers(regions, records, Kmers(k=9)).select("kmer").distinct().selectExpr("kmer", "cast(crc32(cast(kmer AS binary)) % 40 AS bigint) AS cnt")
     return topk(records, regions.select("contig", "sequence"), counts, "x", 20.0, Kmers(k=9, min_variant_size=3), Pileup(variant_padding=6))
+
+
+WIDE_RECORDS = "(SELECT 'c' || (p_partkey % 5) AS contig, p_partkey // 5 * 6 + p_size % 4 AS pos, 1 + p_size % 9 AS n FROM part)"
+WIDE_REGIONS = "(SELECT 'r' || s_suppkey AS region, 'c' || (s_suppkey % 5) AS contig, s_suppkey * 17 AS b, s_suppkey * 17 + 20 + s_nationkey AS e FROM supplier)"
+
+
+@query(
+    f"""WITH RECURSIVE v AS (SELECT DISTINCT contig, pos AS s, pos + n AS e FROM {WIDE_RECORDS}),
+    w(region, contig, b, e, k) AS (SELECT region, contig, b, e, 0 FROM {WIDE_REGIONS} UNION ALL
+        SELECT region, contig, nb, ne, k + 1 FROM (SELECT w.region, w.contig, w.b, w.e, w.k, CASE WHEN w.b > 0 AND EXISTS (SELECT 1 FROM v WHERE v.contig = w.contig AND v.s = w.b) THEN w.b - 1 ELSE w.b END AS nb,
+            greatest(w.e, coalesce((SELECT max(v.e) + 1 FROM v WHERE v.contig = w.contig AND v.s <= w.e - 1 AND v.e >= w.e), w.e)) AS ne FROM w) WHERE nb <> b OR ne <> e)
+    SELECT region, contig, arg_max(b, k) AS start, arg_max(e, k) AS "end" FROM w GROUP BY 1, 2"""
+)
+def region_widening(t):
+    """Regions grown until no record stands on an edge."""
+    records = t.part.selectExpr("concat('c', p_partkey % 5) AS contig", "p_partkey div 5 * 6 + p_size % 4 AS pos", "repeat('A', cast(1 + p_size % 9 AS int)) AS ref")
+    regions = t.supplier.selectExpr("concat('r', s_suppkey) AS region", "concat('c', s_suppkey % 5) AS contig", "s_suppkey * 17 AS start", "s_suppkey * 17 + 20 + s_nationkey AS end")
+    return graphs.widened(regions, records)

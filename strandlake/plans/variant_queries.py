@@ -53,18 +53,14 @@ def allele_padding(t):
     return n.select("p_partkey", "start", "end")
 
 
-@query(f"SELECT p_partkey, CASE WHEN alt <> '*' THEN length(alt) - length(ref) END AS change FROM {ALLELES} WHERE allele = 1")
-def length_change(t):
-    return records(t).select("p_partkey", fn.length_change("ref", F.element_at("alts", 1)).alias("change"))
-
-
 @query(f"SELECT p_partkey, allele, CASE WHEN alt <> '*' THEN length(alt) - length(ref) END AS change FROM {ALLELES}")
-def length_change_whole(t):
+def length_change(t):
     """The change of length of every ALT."""
     a = records(t).select("p_partkey", "ref", F.posexplode("alts").alias("i", "alt"))
     return a.select("p_partkey", (F.col("i") + 1).cast("bigint").alias("allele"), fn.length_change("ref", F.col("alt")).alias("change"))
 
 
+
 @query(f"SELECT p_partkey, max(CASE WHEN alt <> '*' AND abs(length(alt) - length(ref)) >= 3 THEN 1 ELSE 0 END) = 1 AS sv, min(CASE WHEN alt = '*' THEN 1 ELSE 0 END) = 1 AS star_only FROM {ALLELES} GROUP BY 1")
 def sv_size_filter(t):
     return records(t).select("p_partkey", fn.is_sv("ref", "alts", 3).alias("sv"), fn.star_only("alts").alias("star_only"))
@@ -191,6 +187,54 @@ def positive_negative_samples(t):
     return s.groupBy("sample").agg(F.count(F.lit(1)).alias("regions"), F.sum(F.col("positive").cast("int")).alias("positive"), F.sum((~F.col("positive")).cast("int")).alias("negative"))
 
 
+#: Four samples of every order, a record for each of its lines: a call is missing, carries the first ALT, or carries none.
+MATCH_CALLS = """(SELECT l_orderkey AS region, l_linenumber AS variant_id, j AS place, CASE WHEN k = 0 THEN NULL WHEN k < 3 THEN 1 ELSE 0 END AS a FROM (
+    SELECT l_orderkey, l_linenumber, j, (l_orderkey * 7 + l_linenumber * (j % 2) + j * 5) % 11 + CASE WHEN j >= 2 THEN 3 ELSE 0 END AS k FROM lineitem, (SELECT unnest(range(0, 4)) AS j)))"""
+MATCHED = f"""
+    WITH o AS (SELECT region, place, count(*) AS records, sum(CASE WHEN a > 0 THEN 1 ELSE 0 END) AS n_nonref, count(a) AS n_complete FROM {MATCH_CALLS} GROUP BY 1, 2),
+    c AS (SELECT *, row_number() OVER w AS k, max(CASE WHEN n_nonref < records THEN 1 ELSE 0 END) OVER (PARTITION BY region ORDER BY place) AS blocked FROM o WHERE n_nonref BETWEEN 1 AND 2 WINDOW w AS (PARTITION BY region ORDER BY place)),
+    r AS (SELECT region, place AS control, row_number() OVER (PARTITION BY region ORDER BY (place * 1103515245 + 12345) % 2147483648, place) AS k FROM o WHERE n_nonref = 0 AND n_complete = records),
+    m AS (SELECT o.region, o.place, o.records, o.n_nonref, r.control FROM o LEFT JOIN c ON c.region = o.region AND c.place = o.place AND c.blocked = 0 LEFT JOIN r ON r.region = c.region AND r.k = c.k WHERE o.n_nonref > 0)"""
+
+
+def matched(t):
+    k = "(l_orderkey * 7 + l_linenumber * (j % 2) + j * 5) % 11 + CASE WHEN j >= 2 THEN 3 ELSE 0 END"
+    c = t.lineitem.selectExpr("l_orderkey", "l_linenumber", "explode(sequence(0L, 3L)) AS j").selectExpr("l_orderkey AS region", "l_linenumber AS variant_id", "concat('s', j) AS sample", "j AS place", f"{k} AS k")
+    return variants.case_matching(c.withColumn("gt", F.expr("CASE WHEN k = 0 THEN array(0, cast(null AS int)) WHEN k < 3 THEN array(0, 1) ELSE array(0, 0) END")))
+
+
+@query(f"{MATCHED} SELECT region, 's' || place AS sample, records, n_nonref, 's' || control AS control FROM m")
+def case_matching(t):
+    """For each sample that carries an order's variants one that carries none."""
+    return matched(t).select("region", "sample", "records", "n_nonref", "control")
+
+
+@query(
+    f"""{MATCHED}, a AS (SELECT place AS s, sum(CASE WHEN n_nonref <= 2 THEN n_nonref ELSE 0 END) AS nonref_records, sum(CASE WHEN control IS NOT NULL THEN n_nonref ELSE 0 END) AS matching_ref_records, sum(CASE WHEN n_nonref > 2 THEN 1 ELSE 0 END) AS dropped_regions FROM m GROUP BY 1),
+    b AS (SELECT control AS s, sum(n_nonref) AS ref_records FROM m WHERE control IS NOT NULL GROUP BY 1)
+    SELECT 's' || s AS sample, coalesce(nonref_records, 0) AS nonref_records, coalesce(matching_ref_records, 0) AS matching_ref_records, coalesce(ref_records, 0) AS ref_records, coalesce(dropped_regions, 0) AS dropped_regions FROM a FULL JOIN b USING (s)"""
+)
+def match_counters(t):
+    """What case matching gave and took, sample by sample."""
+    return variants.match_counters(matched(t))
+
+
+PRODUCT = """(SELECT p_partkey // 6 AS region, p_partkey // 3 % 2 AS copy, p_partkey % 3 AS idx, list_sort(list_distinct(CASE p_partkey % 3 WHEN 0 THEN ['r'] WHEN 1 THEN ['a' || (p_size % 2)] ELSE ['a0', 'a' || (p_size % 3)] END)) AS paths, p_partkey % 3 = p_partkey // 6 % 3 AS truth FROM part)"""
+
+
+@query(
+    f"""WITH b AS {PRODUCT}, n AS (SELECT region, count(*) AS n FROM b WHERE copy = 1 GROUP BY 1),
+    p AS (SELECT x.region, x.idx * n.n + y.idx AS genotype, x.idx AS first, y.idx AS second, list_sort(list_distinct(list_concat(x.paths, y.paths))) AS paths, x.truth AND y.truth AS truth FROM b x JOIN b y ON x.region = y.region AND x.copy = 0 AND y.copy = 1 JOIN n ON n.region = x.region),
+    t AS (SELECT region, genotype AS tg, paths AS tp FROM p WHERE truth)
+    SELECT region, genotype, first, second, CASE WHEN truth THEN 1 WHEN paths = tp THEN 2 WHEN tg > 0 AND genotype > 0 THEN 3 ELSE 0 END AS rank FROM p JOIN t USING (region)"""
+)
+def genotype_product(t):
+    """The genotypes over two backgrounds of three haplotypes each, ranked against the true pair."""
+    paths = "CASE p_partkey % 3 WHEN 0 THEN array('r') WHEN 1 THEN array(concat('a', p_size % 2)) ELSE array('a0', concat('a', p_size % 3)) END"
+    b = t.part.selectExpr("p_partkey div 6 AS region", "p_partkey div 3 % 2 AS copy", "p_partkey % 3 AS idx", f"array_distinct({paths}) AS paths", "p_partkey % 3 = p_partkey div 6 % 3 AS truth")
+    return variants.genotype_product(b)
+
+
 @query(
     f"""SELECT contig || chr(9) || (pos + 1) || chr(9) || '.' || chr(9) || ref || chr(9) || array_to_string(alts, ',') || chr(9) || (p_partkey % 60) || chr(9) || 'PASS' || chr(9) || 'K=' || p_partkey || chr(9) || 'GT' || chr(9) || '0|' || (p_partkey % 2) AS line FROM {RECORDS}"""
 )

@@ -14,14 +14,10 @@ DOT = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: {0}[i] * {1}[i]
 
 
 def queries_and_support(t):
-    """The query set, every vector whose id is divisible by 100, against all other vectors.
-
-    The queries are gathered into one row beside the vectors, so that neither side is shuffled.
-    """
+    """The query set, every vector whose id is divisible by 100, against all other vectors, in blocks of queries."""
     e = t.embeddings.select("vec_id", "embedding", "label")
-    book = e.where("vec_id % 100 = 0").agg(F.collect_list(F.struct(F.col("vec_id").alias("q"), F.col("embedding").alias("a"), F.col("label").alias("la"))).alias("book"))
-    pairs = e.selectExpr("vec_id AS s", "embedding AS b", "label AS lb").join(F.broadcast(book)).select("s", "b", "lb", F.explode("book").alias("x"))
-    return pairs.select("x.*", "s", "b", "lb").where("q <> s")
+    queries = e.where("vec_id % 100 = 0").selectExpr("vec_id AS q", "embedding AS a", "label AS la")
+    return embeddings.beside(e.selectExpr("vec_id AS s", "embedding AS b", "label AS lb"), queries, "s", "q").where("q <> s")
 
 
 QS = f"(SELECT q.vec_id AS q, s.vec_id AS s, q.label AS la, s.label AS lb, {V.replace('embedding', 'q.embedding')} AS a, {V.replace('embedding', 's.embedding')} AS b FROM embeddings q JOIN embeddings s ON q.vec_id % 100 = 0 AND q.vec_id <> s.vec_id)"
@@ -62,30 +58,18 @@ def vq_perplexity(t):
     return embeddings.perplexity(assigned(t)[0])
 
 
-@query(
-    f"""WITH a AS {ASSIGNED}, c AS {CODES}, k AS (SELECT code, i, cv[i] AS x FROM (SELECT *, unnest(range(1, 5)) AS i FROM c)), s AS (SELECT code, i, sum(v[i]) AS s, count(*) AS n FROM (SELECT *, unnest(range(1, 5)) AS i FROM a) GROUP BY 1, 2),
-    u AS (SELECT k.code, k.i, 0.01 * coalesce(n, 0) AS size, 0.99 * x + 0.01 * coalesce(s, 0) AS total FROM k LEFT JOIN s USING (code, i)), t AS (SELECT sum(size) AS n, count(*) AS k FROM u WHERE i = 1)
-    SELECT u.code, u.i, round(total / ((size + 1e-5) / (n + k * 1e-5) * n), 6) AS x FROM u, t"""
-)
-def vq_update(t):
-    """The codes after one step of moving averages (first four dimensions)."""
-    a, codes = assigned(t)
-    a, codes = a.withColumn("vector", F.slice("vector", 1, 4)), codes.withColumn("code_vector", F.slice("code_vector", 1, 4))
-    u = embeddings.update_codes(a, codes, 4)
-    return u.select("code", F.posexplode("code_vector").alias("i", "x")).select("code", (F.col("i") + 1).cast("bigint").alias("i"), F.round("x", 6).alias("x"))
-
-
 @query(
     f"""WITH a AS {ASSIGNED}, c AS {CODES}, k AS (SELECT code, i, cv[i] AS x FROM (SELECT *, unnest(range(1, len(cv) + 1)) AS i FROM c)), s AS (SELECT code, i, sum(v[i]) AS s, count(*) AS n FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM a) GROUP BY 1, 2),
     u AS (SELECT k.code, k.i, 0.01 * coalesce(n, 0) AS size, 0.99 * x + 0.01 * coalesce(s, 0) AS total FROM k LEFT JOIN s USING (code, i)), t AS (SELECT sum(size) AS n, count(*) AS k FROM u WHERE i = 1)
     SELECT u.code, u.i, round(total / ((size + 1e-5) / (n + k * 1e-5) * n), 6) AS x FROM u, t"""
 )
-def vq_update_whole(t):
+def vq_update(t):
     """The codes after one step of moving averages, in all 64 dimensions."""
     u = embeddings.update_codes(*assigned(t), 64)
     return u.select("code", F.posexplode("code_vector").alias("i", "x")).select("code", (F.col("i") + 1).cast("bigint").alias("i"), F.round("x", 6).alias("x"))
 
 
+
 RANKED = f"(SELECT q, s, sqrt({SQ.format('a', 'b')}) AS m, CASE WHEN la = lb THEN 1 WHEN s % 5 = 0 THEN 2 WHEN s % 3 = 0 THEN 3 ELSE 0 END AS r FROM {UNIT})"
 
 
@@ -143,6 +127,17 @@ def normalise_pixels(t):
     return x.select("*", vectors.from_signed("signed").alias("back"))
 
 
+@query(f"WITH x AS (SELECT q.vec_id AS q, s.vec_id % 100 AS i, {DOT.format('a', 'b')} AS d FROM (SELECT vec_id, {V} AS a FROM embeddings) q JOIN (SELECT vec_id, {V} AS b FROM embeddings) s ON q.vec_id % 100 = 0 AND s.vec_id // 100 = q.vec_id // 100 AND s.vec_id % 100 BETWEEN 1 AND 1 + q.vec_id // 100 % 7) SELECT q, arg_max(i, (round(d, 9), -i)) AS prediction, round(max(d), 6) AS metric, count(*) AS supports FROM x GROUP BY 1")
+def ragged_predict(t):
+    """Each query beside its own supports, of which queries have different numbers, and the one with the largest product."""
+    e = t.embeddings.selectExpr("vec_id", "vec_id div 100 AS g", "vec_id % 100 AS i", "embedding")
+    queries = e.where("i = 0").selectExpr("g", "embedding AS query")
+    supports = e.where("i BETWEEN 1 AND 1 + g % 7").selectExpr("g", "i AS index", "embedding AS support")
+    m = packing.expanded(queries, supports, ["g"], F.round(vectors.dot("query", "support"), 9))
+    p = embeddings.predict(m, "g", "index", "metric", largest=True).join(m.groupBy("g").agg(F.count(F.lit(1)).alias("supports")), "g")
+    return p.select((F.col("g") * 100).alias("q"), "prediction", F.round("metric", 6).alias("metric"), "supports")
+
+
 PACK_LIMIT = 250_000
 SIZES = "(SELECT source, doc_id, coalesce(n_chars, 0) AS z, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents)"
 PACKED = f"""WITH RECURSIVE s AS (SELECT * FROM {SIZES}), p(source, doc_id, z, i, batch, used, "begin") AS (SELECT source, doc_id, z, i, 0, z, 0::BIGINT FROM s WHERE i = 1
