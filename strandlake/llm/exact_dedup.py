@@ -8,7 +8,7 @@ Bound of the broadcast: a summary of n_p rows errs by n_p / (k + 1) at most and
 Added over partitions, estimates sum to n at most, so at most k + 1 digests reach n / (k + 1).
 
 Defined cases: a null text counts as the empty text; a null id ranks below every other; of rows that agree in text and
-id one stays (the one first by row key); an empty table gives an empty table; extra columns are ignored and may have
+id one stays (the one last by row key); an empty table gives an empty table; extra columns are ignored and may have
 any name.
 """
 
@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, numbered, pick, place, text_or_empty
+from .common import cut, pick, place, small_batches, text_or_empty
+from .rows import PLACE, located, remaining
 
 #: Counters of a Misra-Gries summary.
 COUNTERS = 1024
@@ -61,10 +62,15 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
     keep_id is the largest id among equal texts; `kept` marks exactly one row of each group.
     """
-    df = pick(df, doc_id=id_col, text=text_col)
+    return decided(pick(df, doc_id=id_col, text=text_col).withColumn("row_key", F.monotonically_increasing_id()), k).drop("row_key")
+
+
+def decided(df: DataFrame, k: int) -> DataFrame:
+    """`df`: doc_id, text and row_key, which tells rows apart and has an order. The columns of `exact_dedup`, and row_key."""
+    small_batches(df.sparkSession)
     text = text_or_empty()
-    rows = cut(df.select("doc_id", F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("text_bytes"), F.monotonically_increasing_id().alias("row_key")))
-    rank = F.max(F.struct("doc_id", (-F.col("row_key")).alias("k")))
+    rows = cut(df.select("doc_id", F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("text_bytes"), "row_key"))
+    rank = F.max(F.struct("doc_id", "row_key"))
     heavy = frequent(rows, k).withColumnRenamed("digest", "hd")
     # k + 1 rows at most: the verified winners, with exact counts.
     heavy = cut(rows.join(F.broadcast(heavy), F.col("digest") == F.col("hd")).groupBy("digest").agg(rank.alias("best"), F.count(F.lit(1)).alias("group_size")))
@@ -77,24 +83,18 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
         "group_size",
-        (F.col("row_key") == -F.col("best.k")).alias("kept"),
+        (F.col("row_key") == F.col("best.row_key")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
         "text_bytes",
+        "row_key",
     )
 
 
 def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = COUNTERS) -> DataFrame:
-    """The rows of `df` that stay, with all their columns.
+    """The rows of `df` that stay, with all their columns; no text is shuffled if `df` is a scan of files.
 
     Rows that agree in id and text are one document: one of them stays.
     """
-    decided = exact_dedup(df, id_col, text_col, k).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    id_, text = f"c{place(df, id_col)}", f"c{place(df, text_col)}"
-    marked = numbered(df).withColumn("sha", F.sha2(text_or_empty(text), 256))
-    stays = marked.join(decided, F.col(id_).eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha")), "left_semi")
-    return (stays.dropDuplicates([id_, "sha"]) if repeats(df, id_col) else stays).drop("sha").toDF(*df.columns)
-
-
-def repeats(df: DataFrame, id_col: str) -> bool:
-    """Whether any id occurs twice; then equal rows have to be told apart."""
-    return bool(pick(df, id=id_col).groupBy("id").count().where("count > 1").take(1))
+    full, in_files = located(df)
+    rows = full.select(F.col(f"c{place(df, id_col)}").alias("doc_id"), F.col(f"c{place(df, text_col)}").alias("text"), F.struct(*PLACE).alias("row_key"))
+    return remaining(full, decided(rows, k).where("NOT kept").select("row_key.*"), in_files).toDF(*df.columns)

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, cut, map_texts, numbered, pick, place
+from .common import crc_fold, cut, map_texts, pick, place
+from .rows import PLACE, located, remaining
 
 #: Pseudo-counts of the smoothed rates: characters, words, lines.
 SMOOTH = 50.0
@@ -66,9 +67,9 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and f, the statistics."""
-    return map_texts(pick(df, doc_id=id_col, text=text_col), ["doc_id"], "text", "f array<double>", lambda texts: {"f": pa.array([statistics(t) for t in texts], pa.list_(pa.float64()))})
+def features(df: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns `keep` and f, the statistics of the column text."""
+    return map_texts(df, keep, "text", "f array<double>", lambda texts: {"f": pa.array([statistics(t) for t in texts], pa.list_(pa.float64()))})
 
 
 @dataclass
@@ -128,13 +129,8 @@ def learned(rows: DataFrame, labels: DataFrame, id_col: str, folds: int) -> Data
     return rows.join(known.where(crc_fold("l", folds) != 0), F.col("doc_id") == F.col("l")).select("f", "quality")
 
 
-def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of `df`: doc_id, held_out, score, predicted.
-
-    Learns from rows of `labels` (the id, quality) whose fold, crc32 of the id as text modulo `folds`, is not 0.
-    """
-    rows = cut(features(df, id_col, text_col))
-    model = fit(learned(rows, labels, id_col, folds))
+def scored(rows: DataFrame, model: Model) -> DataFrame:
+    """`rows`, which end with f, with the score in its place."""
 
     def score(batches):
         for b in batches:
@@ -144,17 +140,24 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.score(x))], names=[*b.schema.names[:-1], "score"])
 
     kept = rows.drop("f").schema
-    scored = rows.mapInArrow(score, ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in kept) + ", score double")
-    return scored.select("doc_id", (crc_fold("doc_id", folds) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return rows.mapInArrow(score, ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in kept) + ", score double")
 
 
-def drop_rejected(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `df` that the classifier accepts, with all their columns; no row is shuffled with its text."""
-    model = fit(learned(cut(features(df, id_col, text_col)), labels, id_col, 5))
-    plain = numbered(df)
-
-    def good(texts):
-        return {"score": pa.array(model.score(np.array([statistics(t) for t in texts]).reshape(-1, len(FEATURES))))}
+def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per row of `df`: doc_id, held_out, score, predicted.
 
-    scored = map_texts(plain, plain.columns, f"c{place(df, text_col)}", "score double", good).where(F.col("score") >= THRESHOLD)
-    return scored.drop("score").toDF(*df.columns)
+    Learns from rows of `labels` (the id, quality) whose fold, crc32 of the id as text modulo `folds`, is not 0.
+    """
+    rows = cut(features(pick(df, doc_id=id_col, text=text_col), ["doc_id"]))
+    got = scored(rows, fit(learned(rows, labels, id_col, folds)))
+    return got.select("doc_id", (crc_fold("doc_id", folds) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_rejected(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `df` that the classifier accepts, with all their columns; statistics are computed once, and no text is shuffled
+    if `df` is a scan of files."""
+    full, in_files = located(df)
+    rows = full.select(F.col(f"c{place(df, id_col)}").alias("doc_id"), *PLACE, F.col(f"c{place(df, text_col)}").alias("text"))
+    rows = cut(features(rows, ["doc_id", *PLACE]))
+    got = scored(rows, fit(learned(rows, labels, id_col, folds)))
+    return remaining(full, got.where(F.col("score") < threshold).select(*PLACE), in_files).toDF(*df.columns)

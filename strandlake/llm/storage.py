@@ -36,3 +36,13 @@ def read(uri: str, offset: int, length: int) -> bytes:
     store, path = fs.FileSystem.from_uri(uri)
     with store.open_input_file(path) as f:
         return f.read_at(length, offset)
+
+
+def tables(uri: str, columns: list[str], where: tuple) -> list:
+    """`columns` of the Parquet files of one folder, of rows that fulfil `where`; none if there is no such folder."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, path = (fs.LocalFileSystem(), local) if (local := _local(uri)) is not None else fs.FileSystem.from_uri(uri)
+    found = store.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    return [pq.read_table(f.path, columns=columns, filters=[where], filesystem=store) for f in found if f.base_name.endswith(".parquet")]
