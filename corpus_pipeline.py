@@ -1,4 +1,4 @@
-"""The corpus pipeline: a table of documents through six stages, each of them one operator over what the one before kept.
+"""The corpus pipeline: a table of documents through five stages, each of them one operator over what the one before kept.
 
 Between stages the documents are written to the folder that the cluster shares, so that a lost executor costs one stage at
 most. All stages but the last return the columns of documents.
@@ -12,7 +12,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import byte_bpe, exact_dedup, mixing, near_copies, quality_classifier, simhash
+from strandlake.llm import byte_bpe, exact_dedup, mixing, near_copies, quality_classifier
 from strandlake.llm.common import shared_dir, ship, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -31,13 +31,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest id stays."""
-    ship(spark)
-    return simhash.drop_near_duplicates(docs)
-
-
-def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts that share 0.8 of their five-word shingles, which SimHash finds in part, the smallest id stays."""
+    """Of each component of near copies (five-word shingles, similarity 0.8), found by SimHash, the document with the smallest id stays."""
     ship(spark)
     return near_copies.drop_near_copies(docs)
 
@@ -57,7 +51,6 @@ STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", quality),
     ("exact dedup", exact),
     ("SimHash near-dedup", near),
-    ("shingle near-dedup", copies),
     ("mixing", mix),
     ("byte-level BPE", tokens),
 ]
