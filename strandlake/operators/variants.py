@@ -60,7 +60,7 @@ def with_samples(df: DataFrame, names: list[str]) -> DataFrame:
     none = F.array(F.lit(None).cast("int"), F.lit(None).cast("int"))
 
     def one(n):
-        found = F.element_at(F.filter("samples", lambda s: s["name"] == n), 1)
+        found = F.try_element_at(F.filter("samples", lambda s: s["name"] == n), F.lit(1))
         return F.struct(n.alias("name"), F.coalesce(found["gt"], none).alias("gt"), found["phase"].alias("phase"), found["ft"].alias("ft"))
 
     return df.withColumn("samples", F.transform(F.array(*[F.lit(n) for n in names]), lambda n: one(n)))

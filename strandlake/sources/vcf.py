@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import genotypes
-from ..operators.variants import normalise
+from ..operators.variants import normalise, predictions_to_records
 
 FIXED = ["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT"]
 
@@ -74,6 +74,16 @@ def info_subset(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("info", F.map_filter("info", lambda k, _: k.isin(*keys)))
 
 
+def flags(lines: list[str]) -> list[str]:
+    """INFO keys that the header says have no value."""
+    return [x.split("ID=")[1].split(",")[0] for x in lines if x.startswith("##INFO=<") and "Number=0," in x]
+
+
+def with_flags(df: DataFrame, keys: list[str]) -> DataFrame:
+    """`df` whose INFO has the given keys without a value, as ill-formed files may give them one."""
+    return df.withColumn("info", F.transform_values("info", lambda k, v: F.when(~k.isin(*keys), v))) if keys else df
+
+
 def _number(x, alternative: str = "."):
     return F.coalesce(x.cast("string"), F.lit(alternative))
 
@@ -126,13 +136,33 @@ def write(df: DataFrame, path: str, head: list[str], names: list[str] | None = N
     first.union(body).orderBy("a", "b", "c", "line").select("line").write.text(path)
 
 
+def prediction_header(lines: list[str], sample: str) -> list[str]:
+    """The header's lines but those of FORMAT, whose fields a prediction replaces, for one sample."""
+    kept = [x for x in lines[:-1] if not x.startswith("##FORMAT=")]
+    own = ['##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', '##FORMAT=<ID=MT,Number=.,Type=Float,Description="Metric between real and simulated data">']
+    return [*kept, *own, *subset_header(lines, [sample])[-1:]]
+
+
+def write_predictions(records: DataFrame, predicted: DataFrame, path: str, head: list[str], sample: str) -> None:
+    """A VCF of the predicted genotypes of one sample: the records that have one, with GT and MT, the metrics to four decimals.
+
+    `predicted`: (variant_id, gt, metrics array<double>); an allele that is not known is null.
+    """
+    known = predictions_to_records(records.drop("samples"), predicted)
+    call = F.struct(F.lit(sample).alias("name"), "gt", F.struct(F.lit("unphased").alias("kind"), F.lit(None).cast("int").alias("ps")).alias("phase"), F.lit(None).cast("string").alias("ft"))
+    listed = F.array_join(F.transform("metrics", lambda m: F.coalesce(F.round(m, 4).cast("string"), F.lit("."))), ",")
+    rows = known.withColumn("samples", F.array(call)).withColumn("mt", F.create_map(F.lit(sample), F.when(F.size("metrics") > 0, listed).otherwise(".")))
+    write(rows, path, prediction_header(head, sample), [sample], {"MT": "mt"})
+
+
 def write_by_sample(df: DataFrame, path: str, head: list[str], chosen: DataFrame) -> None:
-    """A folder `sample=NAME` for each sample of `chosen` (sample, variant_id): its records with its call alone, sorted within.
+    """A folder `sample=NAME` for each sample of `chosen` (sample, variant_id): its records with its call alone, sorted within. INFO keys that
+    have no value by the header lose one that a record gives them.
 
     A sample's header stands in `header` beside the parts.
     """
     names = sample_names(head)
-    rows = df.join(chosen, "variant_id")
+    rows = with_flags(df, flags(head)).join(chosen, "variant_id")
     one = F.filter("samples", lambda s: s["name"] == F.col("sample"))
     text = lines(rows.withColumn("samples", F.transform(one, lambda s: F.struct(F.lit("one").alias("name"), s["gt"].alias("gt"), s["phase"].alias("phase"), s["ft"].alias("ft")))).withColumn("id", F.concat_ws("\x01", "sample", F.coalesce("id", F.lit(".")))), ["one"])
     parts = text.select(F.regexp_extract("line", "\t([^\t\x01]*)\x01", 1).alias("sample"), "contig", "pos", F.regexp_replace("line", "\t[^\t\x01]*\x01", "\t").alias("line"))

@@ -160,3 +160,42 @@ def test_region_images(spark):
     assert {x.region for x in img} == {"r"} and {x.col for x in img} == set(range(5, 15)) | set(range(25, 35))
     small = reads.region_images(df, regions, 30.0, 5.0, Pileup(height=4), read_length=10, size=(2, 8)).collect()
     assert {(x.row, x.col) for x in small} <= {(a, b) for a in range(2) for b in range(8)} and all(len(x.channels) == 8 for x in small)
+
+
+HEAD = ["##fileformat=VCFv4.2", "##contig=<ID=c>", '##INFO=<ID=IMPRECISE,Number=0,Type=Flag,Description="x">', '##INFO=<ID=SVLEN,Number=.,Type=Integer,Description="y">', '##FORMAT=<ID=DP,Number=1,Type=Integer,Description="z">', "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tx\ty"]
+
+
+def records_of(spark, tmp_path):
+    body = ["c\t5\t.\tA\tC\t7\tPASS\tIMPRECISE=1;SVLEN=3\tGT\t0|1\t0/0", "c\t9\t.\tA\t*\t.\t.\tSVLEN=1\tGT\t0/1\t./1", "c\t12\t.\tACG\tA\t.\t.\t.\tGT\t0/1\t0/0"]
+    (tmp_path / "a.vcf").write_text("\n".join([*HEAD, *body]) + "\n")
+    return vcf.read(spark, str(tmp_path / "a.vcf"))
+
+
+def test_predictions_as_vcf(spark, tmp_path):
+    records = records_of(spark, tmp_path)
+    ids = {r.pos: r.variant_id for r in records.collect()}
+    predicted = spark.createDataFrame([(ids[4], [0, 1], [0.123456, 2.0]), (ids[11], [None, 1], [])], "variant_id string, gt array<int>, metrics array<double>")
+    vcf.write_predictions(records, predicted, str(tmp_path / "p.vcf"), HEAD, "new")
+    lines = [r.value for r in spark.read.text(str(tmp_path / "p.vcf")).collect()]
+    assert not any("ID=DP" in x for x in lines) and sum(x.startswith("##FORMAT") for x in lines) == 2
+    assert [x for x in lines if x.startswith("#CHROM")] == ["#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tnew"]
+    assert [x.split("\t")[1:2] + x.split("\t")[8:] for x in lines if not x.startswith("#")] == [["5", "GT:MT", "0/1:0.1235,2.0"], ["12", "GT:MT", "./1:."]]
+
+
+def test_flags_and_subsets_of_info(spark, tmp_path):
+    records = records_of(spark, tmp_path)
+    assert vcf.flags(HEAD) == ["IMPRECISE"]
+    fixed = {r.pos: r.info for r in vcf.with_flags(records, vcf.flags(HEAD)).collect()}
+    assert fixed[4] == {"IMPRECISE": None, "SVLEN": "3"} and fixed[11] is None
+    assert {r.pos: r.info for r in vcf.info_subset(records, ["SVLEN"]).collect()} == {4: {"SVLEN": "3"}, 8: {"SVLEN": "1"}, 11: None}
+    assert "IMPRECISE;SVLEN=3" in vcf.lines(vcf.with_flags(records, ["IMPRECISE"]), ["x"]).where("pos = 4").first().line
+
+
+def test_records_inside_a_region_and_calls(spark, tmp_path):
+    records = records_of(spark, tmp_path).withColumn("b", F.lit(3)).withColumn("e", F.lit(30))
+    assert {r.pos for r in variants.inside(records, "b", "e").collect()} == {4, 11}  # `*` alone is left out
+    assert {r.pos for r in variants.inside(records.withColumn("e", F.lit(14)), "b", "e").collect()} == {4}
+    calls = {(r.pos, r.sample): (r.gt, r.kind, r.sample_at) for r in variants.sample_calls(records).collect()}
+    assert calls[4, "x"] == ([0, 1], "global", 0) and calls[8, "y"][0] == [None, 1] and calls[11, "y"] == ([0, 0], "implicit", 1)
+    wide = variants.with_samples(records, ["z", "x"]).where("pos = 4").first().samples
+    assert [(s.name, s.gt) for s in wide] == [("z", [None, None]), ("x", [0, 1])]
