@@ -25,8 +25,9 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.new_folder(spark)
-    directory = warc.index(warc.write(table(spark, sf_dir, "pages"), folder), folder)
-    records = warc.read(warc.captures_of(directory))
+    pages = table(spark, sf_dir, "pages")
+    directory = warc.index(warc.write(pages, folder), folder)
+    records = warc.read(warc.lookup(directory, pages))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

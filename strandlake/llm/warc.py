@@ -34,15 +34,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import storage
-from .common import cut, pick, shared_dir, small_batches
+from .common import cut, pick, place, shared_dir, small_batches
+from .rows import PLACE, located, told
 
 REVISIT_FROM = 1000
-#: Bytes of an archive after which a new one is begun, captures of an index block, bytes read at once.
+#: Bytes of an archive after which a new one is begun, captures of an index block, blocks of an index file, bytes read at once.
 ARCHIVE_BYTES = 256 << 20
 BLOCK_CAPTURES = 1000
+FILE_BLOCKS = 200
 READ_BYTES = 4 << 20
-#: Groups of equal payloads up to which their table is broadcast (about 60 bytes each).
-BROADCAST_ROWS = 200_000
 DATE = "2026-01-01T00:00:00Z"
 NO_URL = "-"
 
@@ -115,27 +115,16 @@ def _rows(batch: dict[str, list], schema: str) -> pa.RecordBatch:
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write `pages` as archives under `folder`; returns the captures (CAPTURES), written when this function returns."""
     small_batches(pages.sparkSession)
+    full, in_files = located(pages)
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    rows = pick(pages, id=id_col, url=url_col, html=html_col).select("id", "url", payload.alias("payload"), F.unhex(F.sha1(payload)).alias("digest"), F.xxhash64("url").alias("u"))
-    rows = rows.withColumn("n", F.octet_length("payload").cast("bigint"))
-    alike = rows.where(F.col("n") >= REVISIT_FROM).groupBy("digest", "n", "id", "u").agg(F.count(F.lit(1)).alias("times"))
-    groups = alike.groupBy(F.col("digest").alias("d"), F.col("n").alias("dn")).agg(F.max(F.struct("id", "u", "times")).alias("best"), F.sum("times").alias("k"))
-    groups = cut(groups.where("k > 1").select("d", "dn", F.col("best.id").alias("refers_to"), F.col("best.u").alias("best_u"), F.col("best.times").alias("times")))
-    twice = groups.where("times > 1").limit(1).count() > 0
-    if groups.count() <= BROADCAST_ROWS:
-        groups = F.broadcast(groups)
-    decided = rows.join(groups, (F.col("digest") == F.col("d")) & (F.col("n") == F.col("dn")), "left")
-    decided = decided.withColumn("best", F.col("d").isNotNull() & F.col("id").eqNullSafe(F.col("refers_to")) & (F.col("u") == F.col("best_u")))
-    revisit = F.col("d").isNotNull() & ~F.col("best")
-    out = [F.col("id"), F.col("url"), F.col("payload"), F.when(revisit, F.col("refers_to")).alias("refers_to"), revisit.alias("revisit")]
-    if twice:
-        # Rows alike in every column: one of them is the response, the others revisit it.
-        same = decided.where("best AND times > 1").groupBy("digest", "n", "id", "u").agg(F.first("url").alias("url"), F.first("payload").alias("payload"), F.count(F.lit(1)).alias("times"))
-        same = same.select("id", "url", "payload", F.explode(F.sequence(F.lit(1).cast("bigint"), "times")).alias("i"))
-        same = same.select("id", "url", "payload", F.when(F.col("i") > 1, F.col("id")).alias("refers_to"), (F.col("i") > 1).alias("revisit"))
-        decided = decided.where("NOT best OR times = 1").select(*out).union(same)
-    else:
-        decided = decided.select(*out)
+    names = {"id": id_col, "url": url_col, "html": html_col}
+    rows = full.select(*PLACE, *[F.col(f"c{place(pages, c)}").alias(k) for k, c in names.items()])
+    # Two hashes and the length stand for a payload; payloads are read again only to be written.
+    narrow = cut(rows.select(*PLACE, "id", F.octet_length(payload).cast("bigint").alias("n"), F.unhex(F.sha1(payload)).alias("digest"), F.xxhash64(payload).alias("x")).where(F.col("n") >= REVISIT_FROM))
+    same = ["digest", "x", "n"]
+    groups = narrow.groupBy(*same).agg(F.max(F.struct("id", *PLACE)).alias("best"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    again = narrow.join(groups, same).where((F.col("best.at_file") != F.col("at_file")) | (F.col("best.at_row") != F.col("at_row"))).select(*PLACE, F.col("best.id").alias("number"))
+    decided = told(rows, again, in_files).select("id", "url", payload.alias("payload"), F.col("number").alias("refers_to"), F.col("named").alias("revisit"))
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, name, at = None, "", 0
@@ -165,20 +154,23 @@ def index(captures: DataFrame, folder: str) -> DataFrame:
     """Write the index files of `captures`; returns the directory (BLOCKS), one row for each block."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, name, at = None, "", 0
+        f, name, at, n = None, "", 0, 0
         held: list[list] = []
         for b in chain(batches, [None]):
             if b is not None:
                 held += [list(x) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
             while len(held) >= BLOCK_CAPTURES or (b is None and held):
-                if f is None:
-                    name = f"{folder}/index-{uuid.uuid4().hex}.cdxz"
+                if f is None or n == FILE_BLOCKS:
+                    if f is not None:
+                        f.close()
+                    name, at, n = f"{folder}/index-{uuid.uuid4().hex}.cdxz", 0, 0
                     f = storage.create(name)
                 part, held = held[:BLOCK_CAPTURES], held[BLOCK_CAPTURES:]
                 data = zlib.compress("\n".join(json.dumps(x, ensure_ascii=False) for x in part).encode())
                 f.write(data)
+                f.flush()
                 yield _rows({"first_key": [part[0][0]], "last_key": [part[-1][0]], "file": [name], "offset": [at], "length": [len(data)], "captures": [len(part)]}, BLOCKS)
-                at += len(data)
+                at, n = at + len(data), n + 1
         if f is not None:
             f.close()
 
@@ -221,8 +213,9 @@ class Directory:
 def lookup(directory: DataFrame, urls: DataFrame, url_col: str = "url") -> DataFrame:
     """The captures of each url of `urls`, by key; reads only the blocks that can hold them.
 
-    The files' first and last keys come to the driver, one row for each index file. A query goes to the task of its file,
-    which holds that file's part of the directory only.
+    The files' first and last keys come to the driver, one row for each index file (of up to FILE_BLOCKS * BLOCK_CAPTURES captures). A
+    query goes to the task of its file, which holds that file's part of the directory only. A capture comes once, however often it is
+    asked for.
     """
     files = sorted((r["lo"], r["hi"], r["file"]) for r in directory.groupBy("file").agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi")).collect())
     lows, highs = [x[0] for x in files], [x[1] for x in files]
