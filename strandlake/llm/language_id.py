@@ -7,12 +7,13 @@ text's length), for each letter parsed, estimate the cross entropy; the language
 Words are parsed with their borders and apart from each other, so each distinct word of a block is parsed once, in all
 languages at the same time, with array operations.
 
-The automata are fitted on a bounded sample of labelled rows: DOCS_A_LANGUAGE documents for each language, chosen by hash,
-of each the first CHARS_A_DOC characters, and SAMPLE_CHARS characters in all. Every text is predicted whole.
+The automata are fitted on a bounded sample of labelled rows, each of them whole: of each language up to DOCS_A_LANGUAGE documents in
+the order of a hash, while they fit in its share of SAMPLE_CHARS characters; one in any case. Documents of more than an eighth of the share
+come after all others. The LANGUAGES languages with most rows are learned. Every text is predicted whole.
 
 Defined cases: null text, or text without a letter, gives `und` with score 0, as does any text if there is nothing to
-learn from; words of more than LONGEST letters are parsed in pieces of that size; ties go to the language first in code
-point order; repeated rows are predicted each; an empty table gives an empty result; extra columns are ignored.
+learn from; words of any length are parsed whole; ties go to the language first in code point order; repeated rows are predicted each; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,9 +30,8 @@ from pyspark.sql.window import Window
 from .common import Table, crc_fold, map_texts, pick
 
 DOCS_A_LANGUAGE = 48
-CHARS_A_DOC = 1500
-SAMPLE_CHARS = 1_200_000
-LONGEST = 64
+SAMPLE_CHARS = 800_000
+LANGUAGES = 1000
 #: Bytes of text whose distinct words are parsed together: the unit of memory.
 BLOCK_BYTES = 10_000_000
 #: How sharply differences of entropy turn into the score.
@@ -139,9 +139,8 @@ class Languages:
         pieces, owner = [], []
         for i, token in enumerate(known):
             for run in letters(token):
-                for k in range(0, len(run), LONGEST):
-                    pieces.append(run[k : k + LONGEST])
-                    owner.append(i)
+                pieces.append(run)
+                owner.append(i)
         owners = np.array(owner, np.int64)
         size = np.bincount(owners, weights=[len(p) for p in pieces], minlength=len(known)) if pieces else np.zeros(len(known))
         found = self.phrases(pieces)
@@ -170,16 +169,18 @@ def sample(df: DataFrame, learn) -> tuple[tuple[str, str], ...]:
     """Bounded labelled text of each language. One count for each language sets a bar on a hash, which few rows pass."""
     text = F.col("text")
     able = df.where(learn & F.col("lang").isNotNull() & text.rlike(r"\p{L}"))
-    rows = able.select(F.col("lang").alias("lang"), F.substring(text, 1, CHARS_A_DOC).alias("t"), F.xxhash64("doc_id", text).alias("h"))
-    rows = rows.withColumn("at", F.shiftrightunsigned("h", 11) / float(1 << 53))
-    counts = able.groupBy(F.col("lang").alias("l")).agg(F.count(F.lit(1)).alias("n"))
-    few = rows.join(F.broadcast(counts), F.col("lang") == F.col("l")).where(F.col("at") * F.col("n") <= 3 * DOCS_A_LANGUAGE)
-    first = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("k") <= DOCS_A_LANGUAGE)
+    counts = able.groupBy(F.col("lang").alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES)
+    counts = counts.withColumn("share", F.lit(SAMPLE_CHARS) / F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    rows = able.select("lang", text.alias("t"), F.xxhash64("doc_id", text).alias("h"), F.length(text).alias("chars"))
+    at = F.shiftrightunsigned("h", 11) / float(1 << 53)
+    few = rows.join(F.broadcast(counts), F.col("lang") == F.col("l")).where(at * F.col("n") <= 3 * DOCS_A_LANGUAGE)
+    order = Window.partitionBy("lang").orderBy(F.col("chars") * 8 > F.col("share"), "h", "t")
+    few = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= DOCS_A_LANGUAGE)
+    few = few.withColumn("upto", F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("k") == 1) | (F.col("upto") <= F.col("share")))
     by_lang: dict[str, list[str]] = defaultdict(list)
-    for r in first.orderBy("lang", "k").select("lang", "t").collect():
+    for r in few.select("lang", "k", "t").orderBy("lang", "k").collect():
         by_lang[r["lang"]].append(r["t"])
-    share = SAMPLE_CHARS // max(1, len(by_lang))
-    return tuple((lang, " ".join(by_lang[lang])[:share]) for lang in sorted(by_lang))
+    return tuple((lang, " ".join(by_lang[lang])) for lang in sorted(by_lang))
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, out: int = 2) -> DataFrame:
