@@ -6,7 +6,8 @@ features describe the whole run, and dynamic programming over bounded runs choos
 spans never overlap base ones.
 
 Only runs that hold a digit, an at sign or a spelled `at` or `dot` can be named, so the dynamic program is run on windows around
-such tokens; between them every token is `other` in every segmentation, and the result is that of the whole text. Weights are fitted on
+such tokens; between them every token is `other` in every segmentation, and the result is that of the whole text. Candidates are scored as
+the program comes to their last token; of a token it keeps a few bytes, so that a table of numbers of any length fits a task. Weights are fitted on
 examples made from a seed, once in the driver; they take no rows of the corpus.
 
 Defined cases: null text counts as empty and has no spans; texts of any length are searched whole; repeated rows are searched
@@ -18,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,6 +34,9 @@ MAX_TOKENS = 5
 CONTEXT = MAX_TOKENS
 #: Characters of the longest candidate span.
 LONGEST = 120
+#: Score over `other` that a candidate has for some kind; shapes of spans whose scores a task keeps.
+LEAST = -4.0
+SHAPES = 100_000
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -43,6 +48,8 @@ _RUN = re.compile(r"\S+")
 _MARK = re.compile(r"[0-9@]")
 #: What opens a window: a mark, or a token that `Window` calls spelled.
 _OPENS = re.compile(r"(?i)[0-9@]|[\[(](?:at|dot)[\])]|(?<!\S)[\[(]?(?:at|dot)[\])]?(?!\S)")
+_END = re.compile(r"^[+(\[]|[A-Za-z0-9]$")
+_SPELLED = re.compile(r"(?i)^[\[(]?(at|dot)[\])]?$|[\[(](at|dot)[\])]")
 _EDGE = ".,;:!?\"'<>|[]{}"
 _CUES = {"tel": "call", "telephone": "call", "phone": "call", "call": "call", "mobile": "call", "fax": "call", "mail": "mail", "email": "mail", "contact": "mail", "card": "pay", "visa": "pay", "payment": "pay", "ip": "net", "host": "net", "server": "net", "address": "net"}
 
@@ -136,7 +143,8 @@ def span_features(span: str, tokens: int, cue: str) -> tuple[str, ...]:
     low = span.lower()
     if "@" in span or re.search(r"[\[(]at[\])]|\bat\b", low):
         out.append("at")
-        if re.search(r"(\.|[\[(]dot[\])]|\bdot\b)\s*[a-z]{2,6}$", low):
+        # A full stop before a space ends a sentence.
+        if re.search(r"(\.|([\[(]dot[\])]|\bdot\b)\s*)[a-z]{2,6}$", low):
             out.append("at then domain")
             if re.match(r"[a-z0-9._%+-]+\s*(@|[\[(]at[\])]|\bat\b)", low):
                 out.append("whole address")
@@ -147,29 +155,38 @@ def span_features(span: str, tokens: int, cue: str) -> tuple[str, ...]:
 
 
 class Window:
-    """The tokens of one window, and the candidate spans that can be named."""
+    """The tokens of one window, and the candidate spans that can be named. Candidates are made one end at a time and not kept."""
 
     def __init__(self, text: str, tokens: list[tuple[int, int]]):
-        self.tokens = tokens
-        marked = [bool(_MARK.search(text, a, b)) for a, b in tokens]
-        # An end of a span has a digit or an at sign, or is a part of a spelled-out address.
-        open_ = [m or bool(re.search(r"^[+(\[]|[A-Za-z0-9]$", text[a:b].rstrip(_EDGE))) for m, (a, b) in zip(marked, tokens, strict=True)]
-        spelled = [bool(re.search(r"(?i)^[\[(]?(at|dot)[\])]?$|[\[(](at|dot)[\])]", text[a:b])) for a, b in tokens]
-        self.spans: dict[tuple[int, int], tuple[int, int, tuple[str, ...]]] = {}
-        for i in range(len(tokens)):
-            for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
-                inside = any(marked[i:j])
-                words = any(spelled[i:j])
-                if not inside and not words:
-                    continue
-                if not words and j - i > 1 and not (marked[i] and marked[j - 1]):
-                    continue
-                if words and not (open_[i] and open_[j - 1]):
-                    continue
-                a, b = core(text, tokens[i][0], tokens[j - 1][1])
-                if a < b <= a + LONGEST:
-                    before = text[tokens[i - 1][0] : tokens[i - 1][1]].strip(_EDGE).lower() if i else ""
-                    self.spans[i, j] = (a, b, span_features(text[a:b], j - i, _CUES.get(before, "")))
+        self.text, self.tokens = text, tokens
+        self.marked, self.open, self.spelled = bytearray(), bytearray(), bytearray()
+        for a, b in tokens:
+            token = text[a:b]
+            marked = bool(_MARK.search(token))
+            self.marked.append(marked)
+            # An end of a span has a digit or an at sign, or is a part of a spelled-out address.
+            self.open.append(marked or bool(_END.search(token.rstrip(_EDGE))))
+            self.spelled.append(bool(_SPELLED.search(token)))
+
+    def ending(self, j: int) -> Iterator[tuple[int, int, int, tuple[str, ...]]]:
+        """(first token, start, end, features) of the candidates whose last token is the one before `j`."""
+        for i in range(j - 1, max(0, j - MAX_TOKENS) - 1, -1):
+            words = 1 in self.spelled[i:j]
+            if not words and 1 not in self.marked[i:j]:
+                continue
+            if not words and j - i > 1 and not (self.marked[i] and self.marked[j - 1]):
+                continue
+            if words and not (self.open[i] and self.open[j - 1]):
+                continue
+            a, b = core(self.text, self.tokens[i][0], self.tokens[j - 1][1])
+            if a < b <= a + LONGEST:
+                before = self.text[self.tokens[i - 1][0] : self.tokens[i - 1][1]].strip(_EDGE).lower() if i else ""
+                yield i, a, b, span_features(self.text[a:b], j - i, _CUES.get(before, ""))
+
+    @property
+    def spans(self) -> dict[tuple[int, int], tuple[int, int, tuple[str, ...]]]:
+        """All candidates, by first and last token."""
+        return {(i, j): (a, b, f) for j in range(1, len(self.tokens) + 1) for i, a, b, f in self.ending(j)}
 
 
 def windows(text: str) -> list[list[tuple[int, int]]]:
@@ -211,45 +228,63 @@ class Model:
 
     def __init__(self, names: dict[str, int], weights: np.ndarray, moves: np.ndarray):
         self.names, self.weights, self.moves = names, weights, moves
+        self.shapes: dict[tuple[str, ...], list[float] | None] = {}
 
     def scores(self, features: tuple[str, ...]) -> np.ndarray:
         at = [i for f in features if (i := self.names.get(f)) is not None]
         return self.weights[at].sum(axis=0)
 
+    def scored(self, features: tuple[str, ...]) -> list[float] | None:
+        """The scores of the kinds, kept for as many shapes of spans as SHAPES; None if all are below LEAST."""
+        if features not in self.shapes:
+            if len(self.shapes) >= SHAPES:
+                self.shapes.clear()
+            s = (self.scores(features)[1:]).tolist()
+            self.shapes[features] = s if max(s) > LEAST else None
+        return self.shapes[features]
+
     def best(self, w: Window) -> list[tuple[int, int, int]]:
-        """The best segmentation's named spans: (kind, start, end) in the text."""
-        n = len(w.tokens)
-        if not w.spans:
-            return []
-        by_end: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for (i, j), (_, _, f) in w.spans.items():
-            s = self.scores(f)
-            if (s[1:] > s[0] - 4.0).any():
-                by_end.setdefault(j, []).append((i, s))
-        if not by_end:
-            return []
-        k = len(LABELS)
-        value = np.full((n + 1, k), -np.inf)
-        value[0, 0] = 0.0
-        back: list[list[tuple[int, int] | None]] = [[None] * k for _ in range(n + 1)]
+        """The best segmentation's named spans: (kind, start, end) in the text.
+
+        Of a token are kept the values of its labels, for as many tokens as a span has, and for each label the length and the label before
+        the span that ends there: two bytes.
+        """
+        n, k = len(w.tokens), len(LABELS)
+        moves = self.moves.tolist()
+        none = [-np.inf] * k
+        values = [[0.0, *none[1:]]]
+        lengths, labels = bytearray(k), bytearray(k)
+        named = False
         for j in range(1, n + 1):
-            come = value[j - 1] + self.moves[:, 0]
-            p = int(come.argmax())
-            value[j, 0], back[j][0] = come[p], (j - 1, p)
-            for i, s in by_end.get(j, ()):
-                come = value[i][:, None] + self.moves[:, 1:]
-                p = come.argmax(axis=0)
-                new = come.max(axis=0) + s[1:]
+            last = values[-1]
+            value = none.copy()
+            length, label = bytearray([1] * k), bytearray(k)
+            for y in range(k):
+                if (come := last[y] + moves[y][0]) > value[0]:
+                    value[0], label[0] = come, y
+            # Longer spans first, as they begin first.
+            for i, _, _, f in reversed(list(w.ending(j))):
+                if (s := self.scored(f)) is None:
+                    continue
+                named = True
+                start = values[i - j]
                 for y in range(1, k):
-                    if new[y - 1] > value[j, y]:
-                        value[j, y], back[j][y] = new[y - 1], (i, int(p[y - 1]))
+                    come, x = max((start[x] + moves[x][y], -x) for x in range(k))
+                    if come + s[y - 1] > value[y]:
+                        value[y], length[y], label[y] = come + s[y - 1], j - i, -x
+            values.append(value)
+            if len(values) > MAX_TOKENS:
+                del values[0]
+            lengths += length
+            labels += label
+        if not named:
+            return []
         out = []
-        j, y = n, int(value[n].argmax())
+        j, y = n, max(range(k), key=lambda y: (values[-1][y], -y))
         while j > 0:
-            i, before = back[j][y]  # type: ignore[misc]
+            i, before = j - lengths[j * k + y], labels[j * k + y]
             if y:
-                a, b, _ = w.spans[i, j]
-                out.append((y - 1, a, b))
+                out.append((y - 1, *core(w.text, w.tokens[i][0], w.tokens[j - 1][1])))
             j, y = i, before
         return out[::-1]
 
@@ -285,7 +320,11 @@ def examples(seed: int = 11, n: int = 420) -> list[tuple[str, list[tuple[int, in
         return 3, r.choice([f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"+{d(2)} {d(3)} {d(4)} {d(3)}", f"({d(3)}) {d(3)} {d(4)}"])
 
     def other() -> str:
-        return r.choice([f"{r.randint(1900, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{r.randint(1, 12)}:{r.randint(10, 59)}", f"{d(2)}.{d(2)}", f"v{d(1)}.{d(1)}.{d(2)}", f"{d(1)}.{d(2)}.{d(1)}", f"${d(3)}", f"#{d(4)}", d(r.randint(1, 8)), "%032x" % r.getrandbits(128), card([16], "", False), card([4, 4, 4, 4], " ", False), f"{d(2)}/{d(2)}/{d(4)}", f"{d(3)}-{d(3)}", f"{r.randint(256, 999)}.{octet()}.{octet()}.{octet()}", f"{d(1)},{d(3)},{d(3)}", "at", f"{d(5)}-{d(5)}", f"{d(24)}", f"{d(1)} {d(2)} {d(1)}", f"{d(4)} {d(4)}"])
+        return r.choice([f"{r.randint(1900, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{r.randint(1, 12)}:{r.randint(10, 59)}", f"{d(2)}.{d(2)}", f"v{d(1)}.{d(1)}.{d(2)}", f"{d(1)}.{d(2)}.{d(1)}", f"${d(3)}", f"#{d(4)}", d(r.randint(1, 8)), "%032x" % r.getrandbits(128), card([16], "", False), card([4, 4, 4, 4], " ", False), f"{d(2)}/{d(2)}/{d(4)}", f"{d(3)}-{d(3)}", f"{r.randint(256, 999)}.{octet()}.{octet()}.{octet()}", f"{d(1)},{d(3)},{d(3)}", "at", f"{d(5)}-{d(5)}", f"{d(24)}", f"{d(1)} {d(2)} {d(1)}", f"{d(4)} {d(4)}", *prose()])
+
+    def prose() -> list[str]:
+        a, b, c, e = word(), word(), word(), word()
+        return [f"{a} at {b}. {c.capitalize()}", f"{a}.\nAt {b}", f"{a}, at {b} {c}", f"{a} at {b}, {c}", f"{a}. At {b} {c}. {e.capitalize()}", f"{a} dot {b}", f"at {a} the dot"]
 
     cues = {0: ["mail", "contact"], 1: ["host", "ip"], 2: ["card", "visa"], 3: ["call", "tel", "phone"]}
     out = []
@@ -312,15 +351,16 @@ def fitted(epochs: int = 6, rate: float = 0.5, decay: float = 1e-4) -> Model:
     names: dict[str, int] = {}
     for text, spans in examples():
         w = Window(text, [m.span() for m in _RUN.finditer(text)])
+        spans_ = w.spans
         gold = {}
         for kind, a, b in spans:
-            at = [ij for ij, (x, y, _) in w.spans.items() if (x, y) == core(text, a, b)]
+            at = [ij for ij, (x, y, _) in spans_.items() if (x, y) == core(text, a, b)]
             if at:
                 gold[at[0]] = kind + 1
-        for _, _, f in w.spans.values():
+        for _, _, f in spans_.values():
             for x in f:
                 names.setdefault(x, len(names))
-        rows = [(i, j, np.array([names[x] for x in f])) for (i, j), (_, _, f) in sorted(w.spans.items(), key=lambda e: e[0][1])]
+        rows = [(i, j, np.array([names[x] for x in f])) for (i, j), (_, _, f) in sorted(spans_.items(), key=lambda e: e[0][1])]
         data.append((len(w.tokens), rows, gold))
     k = len(LABELS)
     weights, moves = np.zeros((len(names), k)), np.zeros((k, k))
@@ -366,9 +406,9 @@ def fitted(epochs: int = 6, rate: float = 0.5, decay: float = 1e-4) -> Model:
                 grad_m[y, label] += 1.0
                 at, y = j, label
             for f, g in grads:
-                g = g - decay
-                seen_w[f] += g * g
-                weights[f] += rate * g / np.sqrt(seen_w[f])
+                step = g - decay * weights[f]
+                seen_w[f] += step * step
+                weights[f] += rate * step / np.sqrt(seen_w[f])
             seen_m += grad_m * grad_m
             moves += rate * grad_m / np.sqrt(seen_m)
     return Model(names, weights, moves)
