@@ -9,7 +9,7 @@
 4. A shard's share of a source is a run of the source's permuted draws, so shards are disjoint; rows of a shard are
    put in the order of a hash.
 
-All steps are DataFrame or SQL functions. Only the table of blocks, at most MOST_BLOCKS plus one for each source, is joined
+All steps are DataFrame or SQL functions, and the table of sources is spread over tasks like any other. Only the table of blocks, at most MOST_BLOCKS plus one for each source, is joined
 to the documents; texts are never shuffled for the decision.
 
 Defined cases: null or empty text has size 0 and takes 0 words; a null source is a source of its own and comes last; rows
@@ -33,6 +33,8 @@ MOST_BLOCKS = 65536
 FULL_BLOCK = 50_000
 DOCS_A_BLOCK = 32
 SHARDS = 16
+#: Sources whose quotas stand in one row.
+CHUNK = 1024
 #: Rows of the block table up to which it is broadcast (about 100 bytes each).
 BROADCAST_ROWS = 100_000
 
@@ -49,20 +51,29 @@ def sized(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int)
     return df.withColumn("__source", F.col(source_col)).withColumn("__h", F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col), F.xxhash64(text_or_empty(text_col))))
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """`sources` with rank, their place in code-point order, null last. Sorted by ranges; the only global window has a row for each range."""
+    order = F.col("__source").asc_nulls_last()
+    sorted_ = cut(sources.repartitionByRange(order).sortWithinPartitions(order).withColumn("range", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sorted_.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    return sorted_.join(F.broadcast(begins), "range").withColumn("rank", F.col("begin") + F.col("at")).drop("range", "at", "begin")
+
+
 def targets(rows: DataFrame) -> DataFrame:
-    """One row per source: __source, rank, docs, source_size, target. The windows run over sources, not documents."""
-    sources = rows.groupBy("__source").agg(F.sum("__size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
-    order = Window.orderBy(F.col("__source").asc_nulls_last())
-    ranked = sources.withColumn("rank", F.row_number().over(order) - 1).withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("rank") % len(WEIGHTS) + 1).cast("int")))
-    ranked = ranked.withColumn("cap", F.col("source_size") * MAX_REPEATS).withColumn("full_at", F.col("cap") / F.col("weight"))
-    # If the sources that fill first are full, the rest share what is left at this level of words for each unit of weight.
-    by_fill = Window.orderBy("full_at", "rank")
-    before = F.coalesce(F.sum("cap").over(by_fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    after = F.sum("weight").over(by_fill.rowsBetween(0, Window.unboundedFollowing))
-    everyone = Window.partitionBy(F.lit(0))
-    leveled = ranked.withColumn("level", (F.sum("source_size").over(everyone) - before) / after)
-    level = F.max(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(everyone)
-    return leveled.select("__source", "rank", "docs", "source_size", F.least(F.coalesce(level, F.lit(0.0)) * F.col("weight"), F.col("cap").cast("double")).alias("target"))
+    """One row per source: __source, rank, docs, source_size, target. Rounds of one aggregation over the sources find the level of words
+    for each unit of weight; a source that it fills is full, and what it can't take raises the level for the others."""
+    sources = ranked(rows.groupBy("__source").agg(F.sum("__size").alias("source_size"), F.count(F.lit(1)).alias("docs")))
+    weighed = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("rank") % len(WEIGHTS) + 1).cast("int")))
+    weighed = cut(weighed.withColumn("cap", F.col("source_size") * MAX_REPEATS))
+    total, weight = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    level, full = (total / weight if weight else 0.0), -1
+    while True:
+        n, cap, heavy = weighed.where(F.col("cap") <= F.lit(level) * F.col("weight")).agg(F.count(F.lit(1)), F.coalesce(F.sum("cap"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+        if n == full or heavy == weight:
+            break
+        full, level = n, (total - cap) / (weight - heavy)
+    return weighed.select("__source", "rank", "docs", "source_size", F.least(F.lit(float(level)) * F.col("weight"), F.col("cap").cast("double")).alias("target"))
 
 
 def block_of(blocks: Column) -> Column:
@@ -73,30 +84,38 @@ def inner_order(seed: int) -> Column:
     return F.xxhash64(F.lit(seed + 1), F.col("__h"))
 
 
+def drawn_left(q: str, n: str, left: str, *names: object) -> str:
+    """SQL of the array of how many of each of `q`'s counts go left, if `left` of all `n` do: going through the items one by one, each goes
+    left with probability (places left) / (items left), so every subset of that size is equally likely. `names` seed the hash."""
+    seeds = ", ".join(map(str, names))
+    return f"""aggregate(
+        transform({q}, (x, r) -> struct(x, r)),
+        named_struct('n', cast({n} AS bigint), 'l', cast({left} AS bigint), 'out', cast(array() AS array<bigint>)),
+        (acc, s) -> transform(array(aggregate(
+            if(s.x > 0, sequence(1L, s.x), cast(array() AS array<bigint>)),
+            named_struct('n', acc.n, 'l', acc.l, 'g', 0L),
+            (a, i) -> if((cast(xxhash64({seeds}, s.r, i) & 1125899906842623 AS double) / 1125899906842624D) * a.n < a.l,
+                named_struct('n', a.n - 1L, 'l', a.l - 1L, 'g', a.g + 1L),
+                named_struct('n', a.n - 1L, 'l', a.l, 'g', a.g)))),
+            t -> named_struct('n', t.n, 'l', t.l, 'out', concat(acc.out, array(t.g))))[0],
+        acc -> acc.out)"""
+
+
 def split_tree(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
-    """`quotas`: one row with `q`, an array of block quotas by source rank. Returns rows (shard, q) of the 2**levels leaves.
+    """`quotas`: chunk and q, the block quotas of a chunk's sources by rank. Returns rows (shard, chunk, q) of the 2**levels leaves.
 
-    A node with n blocks gives half of them to its left child: going through its blocks, each goes left with
-    probability (places left) / (blocks left), so every subset of that size is equally likely.
+    A node gives half of its blocks to its left child. How many of each chunk's go there is drawn over the chunks' sums, and then for each
+    chunk, in a row of its own, over its sources: the two draws make one over all sources.
     """
-    nodes = quotas.select(F.lit(0).cast("bigint").alias("shard"), "q")
+    nodes = quotas.select(F.lit(0).cast("bigint").alias("shard"), "chunk", "q").withColumn("n", F.expr("aggregate(q, 0L, (a, x) -> a + x)"))
     for level in range(levels):
-        nodes = nodes.selectExpr("shard", "q", "aggregate(q, 0L, (a, x) -> a + x) AS n").selectExpr(
-            "shard",
-            "q",
-            f"""aggregate(
-                transform(q, (x, r) -> struct(x, r)),
-                named_struct('n', n, 'l', (n + shard % 2) div 2, 'out', cast(array() AS array<bigint>)),
-                (acc, s) -> transform(array(aggregate(
-                    if(s.x > 0, sequence(1L, s.x), cast(array() AS array<bigint>)),
-                    named_struct('n', acc.n, 'l', acc.l, 'g', 0L),
-                    (a, i) -> if((cast(xxhash64({seed}, {level}, shard, s.r, i) & 1125899906842623 AS double) / 1125899906842624D) * a.n < a.l,
-                        named_struct('n', a.n - 1L, 'l', a.l - 1L, 'g', a.g + 1L),
-                        named_struct('n', a.n - 1L, 'l', a.l, 'g', a.g)))),
-                    t -> named_struct('n', t.n, 'l', t.l, 'out', concat(acc.out, array(t.g))))[0],
-                acc -> acc.out) AS left""",
-        )
-        nodes = nodes.selectExpr("explode(array(struct(shard * 2 AS shard, left AS q), struct(shard * 2 + 1 AS shard, zip_with(q, left, (x, y) -> x - y) AS q))) AS c").select("c.*")
+        sums = nodes.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("chunk", "n"))).alias("c"), F.sum("n").alias("all"))
+        sums = sums.withColumn("g", F.expr(drawn_left("c.n", "all", "(all + shard % 2) div 2", seed, level, "shard", -1)))
+        share = sums.selectExpr("shard AS s", "explode(zip_with(c, g, (x, y) -> struct(x.chunk AS chunk, y AS l))) AS x").selectExpr("s", "x.chunk AS k", "x.l AS l")
+        given = nodes.join(share, (F.col("shard") == F.col("s")) & (F.col("chunk") == F.col("k")))
+        halves = given.selectExpr("shard", "chunk", "q", f"{drawn_left('q', 'n', 'l', seed, level, 'shard', 'chunk')} AS left")
+        halves = halves.selectExpr("chunk", "explode(array(struct(shard * 2 AS shard, left AS q), struct(shard * 2 + 1 AS shard, zip_with(q, left, (x, y) -> x - y) AS q))) AS c")
+        nodes = cut(halves.selectExpr("c.shard", "chunk", "c.q", "aggregate(c.q, 0L, (a, x) -> a + x) AS n"))
     return nodes
 
 
@@ -145,9 +164,10 @@ def plan(rows: DataFrame, shards: int = SHARDS, seed: int = 7) -> DataFrame:
     permuted = Window.partitionBy("rank").orderBy(F.xxhash64(F.lit(seed + 3), "rank", "block", "pass"), "block", "pass")
     draws = cut(draws.withColumn("at", F.row_number().over(permuted) - 1))
     quota = draws.groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
-    quota = sources.select("rank").join(quota, "rank", "left").agg(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))).alias("x")).select(F.col("x.n").alias("q"))
-    leaves = cut(split_tree(quota, levels, seed))
-    ends = leaves.select("shard", F.posexplode("q").alias("rank", "n"))
+    quota = sources.select("rank").join(quota, "rank", "left").select(F.floor(F.col("rank") / CHUNK).alias("chunk"), F.struct("rank", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")).alias("x"))
+    quota = quota.groupBy("chunk").agg(F.array_sort(F.collect_list("x")).alias("x")).select("chunk", F.col("x.n").alias("q"))
+    leaves = split_tree(quota, levels, seed)
+    ends = leaves.select("shard", "chunk", F.posexplode("q").alias("at", "n")).select("shard", (F.col("chunk") * CHUNK + F.col("at")).alias("rank"), "n")
     ends = ends.withColumn("end", F.sum("n").over(Window.partitionBy("rank").orderBy("shard"))).groupBy("rank").agg(F.sort_array(F.collect_list("end")).alias("ends"))
     draws = draws.join(small(ends), "rank").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("at"))))
     # The extra document comes with the block that is drawn in part.
