@@ -1,11 +1,16 @@
 """Byte-level BPE by corpus-level merge replay.
 
-The distinct pre-tokens of a block of documents are laid out once as a linked list of tokens. An inverted index from a
-pair's rank to the places where the pair stands applies every merge in rank order over the whole block, and only the
-neighbours of merged places are looked up again. Texts are then put together from their pre-tokens' ids.
+Each block of documents is laid out by its distinct words (matches of the pattern) and kept as a file in the shared folder. The words
+of all blocks are dealt to shares by a hash, so that every distinct word of the corpus is merged once, in the replay of its share; the
+ids go back to the blocks, which put their texts together.
 
-A merge of a lower rank can arise after a higher one only through a second way to split a token; words where that happens
-are merged one at a time with a heap.
+A replay lays its words out as a linked list of tokens. An inverted index from a pair's rank to the places where the pair stands
+applies every merge in rank order over all words, and only the neighbours of merged places are looked up again. A merge of a lower
+rank can arise after a higher one only through a second way to split a token; words where that happens are merged one at a time
+with a heap.
+
+What is shuffled are each block's distinct words and their ids, packed in a row for each block and share; no text is. Blocks' files
+have new names for each attempt of a task, and only those that its rows name are read.
 
 Defined cases: null text counts as empty, with no ids; texts of any length are encoded whole; repeated rows are encoded
 each; an empty table gives an empty result; extra columns are ignored.
@@ -16,17 +21,27 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import io
+import uuid
 from collections import defaultdict
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Table, map_texts, pick
+from . import storage
+from .common import Table, cut, pick, shared_dir, small_batches
 
 NO_RANK = np.int32(2**31 - 1)
-#: Bytes of text that are replayed together: the unit of memory.
-BLOCK_BYTES = 5_000_000
+#: Bytes of text in a block, and of words that are replayed together: the units of memory.
+BLOCK_BYTES = 8_000_000
+#: Shares of the corpus's words: half as many as the scan has tasks, within these bounds.
+LEAST_SHARES, MOST_SHARES = 16, 4096
+WORDS = ["file", "length", "share", "words", "sizes"]
 
 
 class Codec:
@@ -154,24 +169,17 @@ class Codec:
                 heapq.heappush(heap, (q, h))
         return [t for t in token if t >= 0]
 
-    def encode_block(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[int], list[int]]:
-        """For each text the places of its pre-tokens among the block's distinct ones; the ids of those, one after the other, and where
-        each begins (and the end)."""
-        known: dict[str, int] = defaultdict()
-        known.default_factory = known.__len__
-        where = [np.fromiter(map(known.__getitem__, self.findall(t or "")), np.int32) for t in texts]
-        words = [w.encode() for w in known]
-        del known
-        whole = [self.ranks.get(w, -1) for w in words]
-        ids, count = self.replay([w for w, r in zip(words, whole, strict=True) if r < 0])
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, one after the other, and how many each has."""
+        whole = np.fromiter((self.ranks.get(w, -1) for w in words), np.int32, len(words))
+        rest = whole < 0
+        ids, count = self.replay([w for w, r in zip(words, rest.tolist(), strict=True) if r])
         size = np.ones(len(words), np.int64)
-        rest = np.array(whole, np.int64) < 0
         size[rest] = count
-        begin = np.concatenate([[0], np.cumsum(size)])
-        out = np.empty(int(begin[-1]), np.int32)
-        out[np.repeat(rest, size)] = ids
-        out[begin[:-1][~rest]] = np.array(whole, np.int32)[~rest]
-        return where, out.tolist(), begin.tolist()
+        out = np.empty(int(size.sum()), np.int32)
+        within = np.repeat(rest, size)
+        out[within], out[~within] = ids, whole[~rest]
+        return out, size
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -182,34 +190,179 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+class Block:
+    """Some documents by their distinct words, which stand in the order of the shares that they are dealt to."""
+
+    def __init__(self, c: Codec, texts: list[str | None], shares: int):
+        known: dict[str, int] = defaultdict()
+        known.default_factory = known.__len__
+        found = [np.fromiter(map(known.__getitem__, c.findall(t or "")), np.int32) for t in texts]
+        words = [w.encode() for w in known]
+        del known
+        share = np.fromiter(map(crc32, words), np.uint32, len(words)) % np.uint32(shares)
+        order = np.argsort(share, kind="stable")
+        place = np.empty(len(words), np.int32)
+        place[order] = np.arange(len(words), dtype=np.int32)
+        self.texts = [place[x] for x in found]
+        words = [words[i] for i in order.tolist()]
+        size = np.fromiter(map(len, words), np.int32, len(words))
+        bounds = np.searchsorted(share[order], np.arange(shares + 1))
+        self.dealt = [(k, b"".join(words[i:j]), size[i:j].tobytes()) for k, (i, j) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False)) if i < j or not k]
+
+    def file(self, keys: pa.Array) -> bytes:
+        """The documents' keys and words."""
+        out = io.BytesIO()
+        table = pa.table({"key": keys, "at": lists(self.texts)})
+        with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(table)
+        return out.getvalue()
+
+
+def lists(values: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *values])))
+
+
+def cut_up(data: bytes, sizes: bytes) -> list[bytes]:
+    ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
+    return [data[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+
+class Vocabulary:
+    """The ids of all words of a share, each merged once, in the replay of the batch where it is met first."""
+
+    def __init__(self, c: Codec):
+        self.codec = c
+        self.known: dict[bytes, int] = {}
+        self.ids: list[np.ndarray] = []
+        self.size = np.zeros(0, np.int64)
+
+    def add(self, words) -> None:
+        new = list(dict.fromkeys(w for w in words if w not in self.known))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        ids, size = self.codec.encode_words(new)
+        self.size = np.concatenate([self.size, size])
+        self.ids.append(ids)
+
+    def settle(self) -> None:
+        self.ids = [np.concatenate([np.zeros(0, np.int32), *self.ids])]
+        self.begin = np.cumsum(self.size) - self.size
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        size = self.size[at]
+        return self.ids[0][np.repeat(self.begin[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))], size
+
+
+def replayed(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str, schema: str, made: Callable[[Codec, list, np.ndarray, np.ndarray], list]) -> DataFrame:
+    """doc_id and the columns of `schema`, which `made` returns for the documents of a block.
+
+    `made` gets the codec, each document's words by their number, and the words' ids, one after the other, and how many each has.
+    """
+    small_batches(df.sparkSession)
+    rows = pick(df, doc_id=id_col, text=text_col)
+    folder = f"{shared_dir(df.sparkSession)}/blocks-{uuid.uuid4().hex}"
+    shares = min(MOST_SHARES, max(LEAST_SHARES, rows.rdd.getNumPartitions() // 2))
+    key = rows.schema["doc_id"].dataType.simpleString()
+
+    def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for b in chain(batches, [None]):
+            if b is not None and b.num_rows:
+                held.append(b)
+                size += b.column(1).nbytes
+            if held and (b is None or size >= BLOCK_BYTES):
+                block = Block(codec(path, pattern), [t for x in held for t in x.column(1).to_pylist()], shares)
+                data = block.file(pa.concat_arrays([x.column(0) for x in held]))
+                name = f"{folder}/{uuid.uuid4().hex}"
+                with storage.create(name) as f:
+                    f.write(data)
+                share, words, sizes = zip(*block.dealt, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(share)), pa.array([len(data)] * len(share), pa.int64()), pa.array(share, pa.int32()), pa.array(words, pa.binary()), pa.array(sizes, pa.binary())], names=WORDS)
+                held, size = [], 0
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(codec(path, pattern))
+        held: list[pa.RecordBatch] = []
+        for b in chain(batches, [None]):
+            if b is not None:
+                held.append(b)
+            if held and (b is None or sum(x.nbytes for x in held) >= BLOCK_BYTES):
+                for x in held:
+                    vocabulary.add(w for data, sizes in zip(x.column(3).to_pylist(), x.column(4).to_pylist(), strict=True) for w in cut_up(data, sizes))
+                vocabulary.settle()
+                for x in held:
+                    found = [vocabulary.of(cut_up(data, sizes)) for data, sizes in zip(x.column(3).to_pylist(), x.column(4).to_pylist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*x.columns[:3], pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in found], pa.binary())], names=WORDS)
+                held = []
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path, pattern)
+        now: tuple[str, int] | None = None
+        ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            documents = pa.ipc.open_stream(storage.read(now[0], 0, now[1])).read_all().combine_chunks()
+            columns = made(c, pieces(documents.column("at")), np.concatenate(ids), np.concatenate(sizes).astype(np.int64))
+            if documents.num_rows:
+                yield pa.RecordBatch.from_arrays([documents.column("key").chunk(0), *columns], names=["doc_id", *(f.split()[0] for f in schema.split(", "))])
+
+        for b in batches:
+            for name, length, i, n in zip(*(b.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True):
+                if now is not None and now[0] != name:
+                    yield from out()
+                    ids, sizes = [], []
+                now = (name, length)
+                ids.append(np.frombuffer(i, np.int32))
+                sizes.append(np.frombuffer(n, np.int32))
+        if now is not None:
+            yield from out()
+
+    words = cut(rows.mapInArrow(lay_out, "file string, length bigint, share int, words binary, sizes binary"))
+    merged = words.repartition("share").mapInArrow(replay, "file string, length bigint, share int, ids binary, sizes binary")
+    return merged.repartition("file").sortWithinPartitions("file", "share").mapInArrow(finish, f"doc_id {key}, {schema}")
+
+
+def pieces(column: pa.ChunkedArray) -> list[np.ndarray]:
+    if not len(column):
+        return []
+    chunk = column.chunk(0)
+    values, offsets = chunk.flatten().to_numpy(), chunk.offsets.to_numpy()
+    return np.split(values, (offsets[1:-1] - offsets[0]))
+
+
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids, the array of each text's token ids."""
 
-    def work(texts: list[str | None]) -> dict[str, list]:
-        where, ids, begin = codec(path, pattern).encode_block(texts)
-        return {"ids": [[t for i in w.tolist() for t in ids[begin[i] : begin[i + 1]]] for w in where]}
+    def made(c: Codec, documents: list, ids: np.ndarray, size: np.ndarray) -> list:
+        ends = np.cumsum(size).tolist()
+        word = [ids[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+        return [pa.array([np.concatenate([np.zeros(0, np.int32), *[word[w] for w in d.tolist()]]).astype(np.int64) for d in documents], pa.list_(pa.int64()))]
 
-    return map_texts(pick(df, doc_id=id_col, text=text_col), ["doc_id"], "text", "ids array<bigint>", work, BLOCK_BYTES)
+    return replayed(df, path, pattern, id_col, text_col, "ids array<bigint>", made)
 
 
 def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 (of the bytes that the ids decode to)."""
 
-    def work(texts: list[str | None]) -> dict[str, list]:
-        c = codec(path, pattern)
-        out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        where, ids, begin = c.encode_block(texts)
-        spans = list(zip(begin, begin[1:], strict=False))
-        size = np.diff(np.array(begin))
-        decoded = [c.decode(ids[a:b]) for a, b in spans]
-        numbers = [c.numbers[i] for i in ids]
-        joined = [",".join(numbers[a:b]) for a, b in spans]
-        del numbers, ids
-        for w in where:
-            order = w.tolist()
-            out["n_tokens"].append(int(size[w].sum()))
-            out["ids_sha256"].append(hashlib.sha256(",".join([joined[i] for i in order]).encode()).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(b"".join([decoded[i] for i in order])).hexdigest())
-        return out
-
-    return map_texts(pick(df, doc_id=id_col, text=text_col), ["doc_id"], "text", "n_tokens bigint, ids_sha256 string, decoded_sha256 string", work, BLOCK_BYTES)
+    def made(c: Codec, documents: list, ids: np.ndarray, size: np.ndarray) -> list:
+        ends = np.cumsum(size).tolist()
+        spans = list(zip([0, *ends], ends, strict=False))
+        numbers = list(map(c.numbers.__getitem__, ids.tolist()))
+        listed = [",".join(numbers[i:j]) for i, j in spans]
+        del numbers
+        tokens = list(map(c.tokens.__getitem__, ids.tolist()))
+        plain = [b"".join(tokens[i:j]) for i, j in spans]
+        del tokens, spans
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        n, by_ids, by_text = [], [], []
+        for d in documents:
+            words = d.tolist()
+            n.append(int(size[d].sum()))
+            by_ids.append(sha(",".join([listed[w] for w in words]).encode()))
+            by_text.append(sha(b"".join([plain[w] for w in words])))
+        return [pa.array(n, pa.int64()), pa.array(by_ids, pa.string()), pa.array(by_text, pa.string())]
+
+    return replayed(df, path, pattern, id_col, text_col, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", made)
