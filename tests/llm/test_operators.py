@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.llm import byte_bpe, exact_dedup, language_id, mixing, pii, quality_classifier, quality_rules, simhash, token_counts, warc
+from strandlake.llm import byte_bpe, exact_dedup, language_id, mixing, near_copies, pii, quality_classifier, quality_rules, simhash, token_counts, warc
 
 from .fixtures import SCHEMA, held, near_components, rows, sha, words
 from .fixtures import simhash as slow_simhash
@@ -29,6 +29,12 @@ def labels(spark):
     return spark.createDataFrame([(i, int(i % 8 > 1), 0) for i in range(60)] + [(None, 1, 0), (5, None, None), (7, 1, 1), (7, 0, 1)], "doc_id bigint, quality int, toxic int")
 
 
+def looked_up(pages, id_col, url_col, html_col):
+    """The captures of all of `pages`, each found by its URL."""
+    folder = warc.new_folder(pages.sparkSession)
+    return warc.lookup(warc.index(warc.write(pages, folder, id_col, url_col, html_col), folder), pages, url_col)
+
+
 OPERATORS = {
     "classify": lambda d, labels: quality_classifier.classify(d, labels),
     "rules": lambda d, _: quality_rules.apply_policy(quality_rules.ledger(d)),
@@ -43,8 +49,10 @@ OPERATORS = {
     "drop rejected": lambda d, labels: quality_classifier.drop_rejected(d, labels),
     "drop copies": lambda d, _: exact_dedup.drop_duplicates(d),
     "drop near copies": lambda d, _: simhash.drop_near_duplicates(d),
+    "drop copies by shingles": lambda d, _: near_copies.drop_near_copies(d),
     "mixed": lambda d, _: mixing.mixed(d),
     "captures": lambda d, _: warc.write(d, warc.new_folder(d.sparkSession), "doc_id", "source", "text"),
+    "records": lambda d, _: warc.read(looked_up(d, "doc_id", "source", "text"), payloads=True),
 }
 
 
@@ -87,6 +95,31 @@ def test_classifier(docs, labels):
     assert len({r.score for r in got if r.doc_id is not None and r.doc_id < 60}) > 10
 
 
+def test_classifier_against_a_plain_discriminant(docs, labels):
+    import numpy as np
+
+    known: dict = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.quality in (0, 1) and not held(r.doc_id, 5, 0):
+            known[r.doc_id] = max(known.get(r.doc_id, 0), r.quality)
+    x = {c: np.array([quality_classifier.statistics(t) for i, t, *_ in rows() if known.get(i) == c]) for c in (0, 1)}
+    total = sum(map(len, x.values()))
+    spread = {c: np.cov(v, rowvar=False, bias=True) for c, v in x.items()}
+    pooled = sum(len(x[c]) / total * spread[c] for c in x)
+    pooled = 0.9 * pooled + 0.1 * np.diag(np.diag(pooled)) + 1e-6 * np.eye(len(pooled))
+
+    def density(v, c):
+        cov = 0.9 * spread[c] + 0.1 * pooled
+        d = v - x[c].mean(axis=0)
+        return -0.5 * (d @ np.linalg.solve(cov, d) + np.linalg.slogdet(cov)[1]) + np.log(len(x[c]) / total)
+
+    want = Counter()
+    for i, t, *_ in rows():
+        v = np.array(quality_classifier.statistics(t))
+        want[i, round(float(1 / (1 + np.exp(-np.clip(density(v, 1) - density(v, 0), -500, 500)))), 5)] += 1
+    assert Counter((r.doc_id, round(r.score, 5)) for r in quality_classifier.classify(docs, labels).collect()) == want
+
+
 def test_classifier_on_held_out_rows(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     known = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -144,6 +177,23 @@ def test_whole_language_sample_among_empty_rows(spark):
     assert lang == "xx" and text.count("words of it") == 40
 
 
+def test_language_sample_takes_whole_rows(spark):
+    made = [(i, "xx", f"start{i} " + "wort " * 400 + f"end{i}") for i in range(9)] + [(50, "yy", "lang " * 300_000), (60, "zz", "kurz und gut")]
+    made += [(100 + i, "xx", "12 !") for i in range(3000)]
+    df = spark.createDataFrame(made, "doc_id bigint, lang string, text string")
+    got = dict(language_id.sample(df, F.lit(True)))
+    assert set(got) == {"xx", "yy", "zz"} and got["yy"] == made[9][2]
+    assert all(made[i][2] in got["xx"] for i in range(9))
+
+
+def test_language_of_long_words():
+    samples = (("a", "donaudampfschifffahrt" * 10), ("b", "und so weiter"))
+    found = language_id.Languages(samples)
+    n, h = found.entropies(["donaudampfschifffahrt" * 10, ""])
+    # Whole, the run of 210 letters and its borders are one phrase.
+    assert n.tolist() == [210, 0] and abs(h[0][0] - found.bits[0] / 210) < 1e-9 and h[0][1] > 1
+
+
 def test_phrases_are_greedy_longest_matches():
     samples = (("a", "der die das und nicht"), ("b", "the and that not under"))
     got = language_id.Languages(samples).phrases(list_ := ["der", "under", "xyz", "thatdas", "d", "ünd"])
@@ -219,6 +269,52 @@ def test_crf_windows_equal_the_whole_text():
         assert abs(path_score(model, w, found) - path_score(model, w, model.best(w))) < 1e-9, text
 
 
+def test_crf_against_all_segmentations():
+    import random
+
+    model, r = pii.fitted(), random.Random(4)
+    parts = ["the", "mail", "erin", "at", "dot", "com", "[at]", "555-123-4567", "call", "10", "a@b.de", "4 4", "(555)"]
+
+    def every(w, at, scores):
+        if at == len(w.tokens):
+            yield []
+            return
+        for rest in every(w, at + 1, scores):
+            yield rest
+        for j in range(at + 1, min(len(w.tokens), at + pii.MAX_TOKENS) + 1):
+            if scores.get((at, j)) is not None:
+                a, b, _ = w.spans[at, j]
+                for rest in every(w, j, scores):
+                    for k in range(4):
+                        yield [(k, a, b), *rest]
+
+    for _ in range(60):
+        text = " ".join(r.choice(parts) for _ in range(r.randint(1, 4)))
+        w = pii.Window(text, [m.span() for m in re.finditer(r"\S+", text)])
+        scores = {ij: model.scored(f) for ij, (_, _, f) in w.spans.items()}
+        most = max(path_score(model, w, named) for named in every(w, 0, scores))
+        assert abs(path_score(model, w, model.best(w)) - most) < 1e-9, text
+
+
+def test_crf_leaves_prose_alone():
+    model = pii.fitted()
+    for text in ["He sat at home. Of course they did", "onharent.\nAt the end", "shre, at to ernded.\nHeatin", "look at this and that. So"]:
+        assert not pii.added_spans(text, model, [])
+
+
+def test_crf_on_a_long_table_of_numbers():
+    import random
+    import tracemalloc
+
+    r = random.Random(1)
+    text = " ".join(str(r.randrange(10 ** r.randint(1, 6))) for _ in range(30_000))
+    model = pii.fitted()
+    tracemalloc.start()
+    pii.added_spans(text, model, [])
+    assert tracemalloc.get_traced_memory()[1] < 100_000_000
+    tracemalloc.stop()
+
+
 def path_score(model, w, named):
     """The score of a segmentation of the whole text; segmentations may tie."""
     places = {(a, b): (i, j, f) for (i, j), (a, b, f) in w.spans.items()}
@@ -370,11 +466,42 @@ def test_mix(spark):
 
 def test_splitting_tree_keeps_quotas(spark):
     q = [40, 0, 7, 113]
-    leaves = mixing.split_tree(spark.createDataFrame([(q,)], "q array<bigint>"), 4, 3).collect()
-    assert sorted(r.shard for r in leaves) == list(range(16))
-    assert [sum(r.q[i] for r in leaves) for i in range(4)] == q
-    assert all(x >= 0 for r in leaves for x in r.q)
-    assert {sum(r.q) for r in leaves} == {10}
+    # All sources in one row, and one or two of them in each.
+    for chunks in ([q], [q[:2], q[2:]], [[x] for x in q]):
+        leaves = mixing.split_tree(spark.createDataFrame(list(enumerate(chunks)), "chunk bigint, q array<bigint>"), 4, 3).collect()
+        whole = {k: [x for r in sorted(g, key=lambda r: r.chunk) for x in r.q] for k, g in groupby(sorted(leaves, key=lambda r: r.shard), key=lambda r: r.shard)}
+        assert sorted(whole) == list(range(16))
+        assert [sum(v[i] for v in whole.values()) for i in range(4)] == q
+        assert all(x >= 0 for v in whole.values() for x in v)
+        assert {sum(v) for v in whole.values()} == {10}
+
+
+def test_splitting_tree_draws_without_bias(spark):
+    """Of 30 and 10 blocks half go left: 15 of the first in the mean, with the variance of a hypergeometric draw."""
+    rows_ = [(s, c, x) for s in range(200) for c, x in enumerate((30, 10))]
+    df = spark.createDataFrame(rows_, "shard bigint, chunk bigint, x bigint")
+    got = df.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("chunk", "x"))).alias("c")).selectExpr(mixing.drawn_left("c.x", "40", "20", 7, 0, "shard", -1) + " AS g").collect()
+    first = [r.g[0] for r in got]
+    assert all(sum(r.g) == 20 for r in got)
+    mean = sum(first) / len(first)
+    assert abs(mean - 15) < 0.5 and 1.0 < sum((x - mean) ** 2 for x in first) / len(first) < 3.0
+
+
+def test_mix_of_many_sources(spark):
+    """More sources than a row of quotas has, in code-point order over several ranges."""
+    n = 5000
+    data = [(i, " ".join(["w"] * (1 + i % 7)), "en", f"host{i}.example" if i else None, 1) for i in range(n)] + [(n + i, "w " * 400, "en", "big", 1) for i in range(300)]
+    d = spark.createDataFrame(data, SCHEMA).repartition(6)
+    got = mixing.mix(d).collect()
+    sizes: dict = defaultdict(int)
+    for r in data:
+        sizes[r[3]] += len(words(r[1]))
+    want = slow_targets(sizes)
+    taken: dict = defaultdict(int)
+    for r in got:
+        assert abs(r.target - want[r.source]) < 1e-6
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - want[s]) <= (400 if s == "big" else 7) for s in sizes)
 
 
 def test_exact_dedup(docs):
@@ -445,3 +572,26 @@ def test_warc_damaged_record():
     assert warc.parse(good)[:4] == (1, "http://a/", b"payload", 7)
     with pytest.raises(ValueError):
         warc.parse(good.replace(b"payload\r\n", b"payloaX\r\n"))
+
+
+def test_warc_of_files_and_of_long_pages(spark, tmp_path):
+    long = "<p>" + "0123456789abcdef" * 1_500_000
+    made = [(i, f"http://h{i % 3}.example/{i % 5}", long if i < 2 else "x" * 2000 if i % 4 else f"page {i} " * 300) for i in range(40)] + [(None, None, "x" * 2000), (7, "http://h1.example/2", "x" * 2000)]
+    pages = spark.createDataFrame(made, "page_id bigint, url string, html string")
+    pages.repartition(3).write.parquet(f"{tmp_path}/p.parquet")
+    for p in (pages, spark.read.parquet(f"{tmp_path}/p.parquet")):
+        got = [r for r in warc.read(looked_up(p, "page_id", "url", "html"), payloads=True).collect()]
+        assert Counter(r.page_id for r in got) == Counter(i for i, _, _ in made)
+        assert sum(r.record_type == "response" for r in got) == len({h for _, _, h in made})
+        html = {i: h for i, _, h in made}
+        for r in got:
+            assert (r.payload is None) == (r.record_type == "revisit")
+            if r.payload is None:
+                assert r.refers_to == max(i for i in html if i is not None and html[i] == html[r.page_id])
+            else:
+                assert r.payload.decode() == html[r.page_id]
+
+
+def test_simhash_takes_even_radii_only(spark):
+    with pytest.raises(ValueError):
+        simhash.links(spark.createDataFrame([(1,), (2,)], "fp bigint"), 3)
