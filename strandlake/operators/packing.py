@@ -62,9 +62,13 @@ def batch_labels(packed: DataFrame, shard: str, order: str, labels: str, limit:
 
 
 def shuffled(df: DataFrame, key: str, seed: int, shards: int) -> DataFrame:
-    """Rows dealt to shards by a hash, each shard in the order of another: a shuffle that a restart repeats."""
-    h = F.xxhash64(F.lit(seed), F.col(key))
-    return df.withColumn("shard", F.pmod(h, F.lit(shards)).cast("int")).withColumn("__o", F.xxhash64(F.lit(seed + 1), F.col(key))).repartition("shard").sortWithinPartitions("shard", "__o").drop("__o")
+    """Rows dealt to shards by the first 32 bits of a digest, each shard in the order of the rest of it: a shuffle that a restart repeats.
+
+    Adds shard and order, the digest by which a shard is sorted; rows alike in it are in order of the key.
+    """
+    digest = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string")))
+    dealt = df.withColumn("order", F.substring(digest, 9, 24)).withColumn("shard", F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(shards)).cast("int"))
+    return dealt.repartition("shard").sortWithinPartitions("shard", "order", key)
 
 
 def shard_lengths(df: DataFrame, shard: str, order: str, length: str) -> DataFrame:

@@ -205,7 +205,7 @@ def shard_lengths(t):
     return s.select("source", "samples", F.array_join("lengths", ",").alias("lengths"))
 
 
-@query()
+@query("SELECT doc_id, source, substr(d, 9) AS \"order\", (('0x' || substr(d, 1, 8))::BIGINT % 8)::INT AS shard FROM (SELECT doc_id, source, md5('3/' || doc_id) AS d FROM documents)")
 def shuffle_shards(t):
     """Documents dealt to eight shards, each in a shuffled order that a rerun repeats."""
     return packing.shuffled(t.documents.select("doc_id", "source"), "doc_id", 3, 8)

@@ -199,3 +199,20 @@ def test_records_inside_a_region_and_calls(spark, tmp_path):
     assert calls[4, "x"] == ([0, 1], "global", 0) and calls[8, "y"][0] == [None, 1] and calls[11, "y"] == ([0, 0], "implicit", 1)
     wide = variants.with_samples(records, ["z", "x"]).where("pos = 4").first().samples
     assert [(s.name, s.gt) for s in wide] == [("z", [None, None]), ("x", [0, 1])]
+
+
+def test_gfa_holds_the_graph(spark):
+    from strandlake.plans import driver, graph_queries
+    from strandlake.plans.registry import Tables
+    from strandlake.tuning import cut
+
+    folder = "/root/testdata/sf0.001"
+    g = cut(graphs.build(*graph_queries.region_tables(Tables(spark, folder))))
+    lines = [(r.region, r.line.split("\t")) for r in driver.QUERIES["graph_gfa"](spark, folder).collect()]
+    assert {(r, int(x[1]), x[2]) for r, x in lines if x[0] == "S"} == {(n.region, n.node, n.seq or "*") for n in graphs.nodes(g).collect()}
+    assert {(r, int(x[1]), int(x[3])) for r, x in lines if x[0] == "L"} == {(e.region, e.src, e.dst) for e in graphs.edges(g).collect()}
+    steps: dict = {}
+    for s in graphs.path_steps(g).orderBy("region", "path", "step").collect():
+        steps.setdefault((s.region, s.path), []).append(f"{s.node}+")
+    assert {(r, x[1]): x[2].split(",") for r, x in lines if x[0] == "P" and x[2]} == steps
+    assert all(x[2:] == ["+", x[3], "+", "0M"] for _, x in lines if x[0] == "L")
