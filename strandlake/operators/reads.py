@@ -15,6 +15,10 @@ from ..functions import alignment, intervals, pixels, sequences
 from .intervals import overlap_join
 
 
+#: Parts that a region's reads are dealt to before they are capped.
+PARTS = 16
+
+
 def primary(df: DataFrame) -> DataFrame:
     """Mapped, primary records that are neither duplicates nor failed."""
     return df.where(F.col("flag").bitwiseAND(alignment.SKIP_FLAGS) == 0)
@@ -59,9 +63,16 @@ def overlaps_region(df: DataFrame, start: str, end: str, region_start: str, regi
 
 
 def capped(reads: DataFrame, by: list[str], most: Column, key: str = "qname", seed: int = 0) -> DataFrame:
-    """`most` reads of each region at most, chosen by a hash, in the order of their starts (column row_order)."""
-    chosen = Window.partitionBy(*by).orderBy(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string"), F.col("start").cast("string"))), key, "start")
-    kept = reads.withColumn("__r", F.row_number().over(chosen)).where(F.col("__r") <= most).drop("__r")
+    """`most` reads of each region at most, chosen by a hash, in the order of their starts (column row_order).
+
+    A region's reads are dealt to PARTS parts first, each of which keeps as many as the region may: a deep region meets in one task with no
+    more than PARTS times its cap.
+    """
+    order = (F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string"), F.col("start").cast("string"))), key, "start")
+    kept = reads.withColumn("__p", F.pmod(F.xxhash64(key, "start"), F.lit(PARTS)))
+    for keys in ([*by, "__p"], by):
+        kept = kept.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= most).drop("__r")
+    kept = kept.drop("__p")
     return kept.withColumn("row_order", F.row_number().over(Window.partitionBy(*by).orderBy("start", key)) - 1)
 
 
