@@ -122,6 +122,12 @@ def graph_kmers(t):
     return u.select("region", "kmer", F.size("places").alias("places"))
 
 
+@query()
+def region_workload(t):
+    """K-mers on the walks of each region's graph, counted up to a hundred thousand."""
+    return haplotypes.workload(*region_tables(t), Kmers(k=9, max_edges=5), 100_000)
+
+
 @query()
 def greedy_haplotypes(t):
     """Haplotypes sampled in each region against counts that the parity of a k-mer's digest makes up."""

@@ -216,3 +216,21 @@ def test_gfa_holds_the_graph(spark):
         steps.setdefault((s.region, s.path), []).append(f"{s.node}+")
     assert {(r, x[1]): x[2].split(",") for r, x in lines if x[0] == "P" and x[2]} == steps
     assert all(x[2:] == ["+", x[3], "+", "0M"] for _, x in lines if x[0] == "L")
+
+
+def test_workload_of_regions(spark):
+    from strandlake.config import Kmers
+    from strandlake.operators import haplotypes
+    from strandlake.operators.region_graph import RegionGraph
+    from strandlake.plans import graph_queries
+    from strandlake.plans.registry import Tables
+
+    regions, records = graph_queries.region_tables(Tables(spark, "/root/testdata/sf0.001"))
+    cfg = Kmers(k=9, max_edges=5)
+    whole = {r.region: (r.walks, r.within) for r in haplotypes.workload(regions, records, cfg, 100_000).collect()}
+    assert len(whole) == regions.count() and all(n > 300 and ok for n, ok in whole.values())
+    least = min(n for n, _ in whole.values())
+    cut_off = {r.region: (r.walks, r.within) for r in haplotypes.workload(regions, records, cfg, least).collect()}
+    assert cut_off == {k: (least, n == least) for k, (n, _) in whole.items()}
+    plain = RegionGraph("c", 0, 12, "ACGTACGTACGT", [], True)
+    assert sum(1 for _ in plain.kmers(9, 5)) == 4
