@@ -9,8 +9,8 @@ applies every merge in rank order over all words, and only the neighbours of mer
 rank can arise after a higher one only through a second way to split a token; words where that happens are merged one at a time
 with a heap.
 
-What is shuffled are each block's distinct words and their ids, packed in a row for each block and share; no text is. Blocks' files
-have new names for each attempt of a task, and only those that its rows name are read.
+What is shuffled are each block's distinct words and their ids, packed in a row for each block and share; no text is. A block's file is
+named by its task, its number and its contents, and put in place whole: a task that is run again writes the same files.
 
 Defined cases: null text counts as empty, with no ids; texts of any length are encoded whole; repeated rows are encoded
 each; an empty table gives an empty result; extra columns are ignored.
@@ -31,10 +31,13 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import storage
 from .common import Table, cut, pick, shared_dir, small_batches
+from .rows import scanned
 
 NO_RANK = np.int32(2**31 - 1)
 #: Bytes of text in a block, and of words that are replayed together: the units of memory.
@@ -207,7 +210,7 @@ class Block:
         words = [words[i] for i in order.tolist()]
         size = np.fromiter(map(len, words), np.int32, len(words))
         bounds = np.searchsorted(share[order], np.arange(shares + 1))
-        self.dealt = [(k, b"".join(words[i:j]), size[i:j].tobytes()) for k, (i, j) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False)) if i < j or not k]
+        self.dealt = [(k, zstandard.compress(b"".join(words[i:j])), packed(size[i:j])) for k, (i, j) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False)) if i < j or not k]
 
     def file(self, keys: pa.Array) -> bytes:
         """The documents' keys and words."""
@@ -223,9 +226,19 @@ def lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *values])))
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Non-negative numbers in as few bytes each as the largest takes, compressed."""
+    kind = np.min_scalar_type(int(values.max(initial=0)))
+    return kind.char.encode() + zstandard.compress(values.astype(kind).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data[1:]), data[:1].decode())
+
+
 def cut_up(data: bytes, sizes: bytes) -> list[bytes]:
-    ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
-    return [data[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+    plain, ends = zstandard.decompress(data), np.cumsum(unpacked(sizes), dtype=np.int64).tolist()
+    return [plain[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
 
 class Vocabulary:
@@ -261,13 +274,16 @@ def replayed(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str,
     """
     small_batches(df.sparkSession)
     rows = pick(df, doc_id=id_col, text=text_col)
+    if not scanned(rows):
+        # A task that is run again has to make the same blocks: its rows must come in the same order.
+        rows = cut(rows)
     folder = f"{shared_dir(df.sparkSession)}/blocks-{uuid.uuid4().hex}"
     shares = min(MOST_SHARES, max(LEAST_SHARES, rows.rdd.getNumPartitions() // 2))
     key = rows.schema["doc_id"].dataType.simpleString()
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, made_so_far = 0, 0
         for b in chain(batches, [None]):
             if b is not None and b.num_rows:
                 held.append(b)
@@ -275,9 +291,9 @@ def replayed(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str,
             if held and (b is None or size >= BLOCK_BYTES):
                 block = Block(codec(path, pattern), [t for x in held for t in x.column(1).to_pylist()], shares)
                 data = block.file(pa.concat_arrays([x.column(0) for x in held]))
-                name = f"{folder}/{uuid.uuid4().hex}"
-                with storage.create(name) as f:
-                    f.write(data)
+                name = f"{folder}/{TaskContext.get().partitionId()}-{made_so_far}-{hashlib.sha1(data).hexdigest()}"
+                made_so_far += 1
+                storage.put(name, data)
                 share, words, sizes = zip(*block.dealt, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(share)), pa.array([len(data)] * len(share), pa.int64()), pa.array(share, pa.int32()), pa.array(words, pa.binary()), pa.array(sizes, pa.binary())], names=WORDS)
                 held, size = [], 0
@@ -294,7 +310,7 @@ def replayed(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str,
                 vocabulary.settle()
                 for x in held:
                     found = [vocabulary.of(cut_up(data, sizes)) for data, sizes in zip(x.column(3).to_pylist(), x.column(4).to_pylist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([*x.columns[:3], pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in found], pa.binary())], names=WORDS)
+                    yield pa.RecordBatch.from_arrays([*x.columns[:3], pa.array([packed(i) for i, _ in found], pa.binary()), pa.array([packed(n) for _, n in found], pa.binary())], names=WORDS)
                 held = []
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +321,7 @@ def replayed(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str,
 
         def out() -> Iterator[pa.RecordBatch]:
             documents = pa.ipc.open_stream(storage.read(now[0], 0, now[1])).read_all().combine_chunks()
-            columns = made(c, pieces(documents.column("at")), np.concatenate(ids), np.concatenate(sizes).astype(np.int64))
+            columns = made(c, pieces(documents.column("at")), np.concatenate(ids), np.concatenate(sizes))
             if documents.num_rows:
                 yield pa.RecordBatch.from_arrays([documents.column("key").chunk(0), *columns], names=["doc_id", *(f.split()[0] for f in schema.split(", "))])
 
@@ -315,12 +331,12 @@ def replayed(df: DataFrame, path: str, pattern: str, id_col: str, text_col: str,
                     yield from out()
                     ids, sizes = [], []
                 now = (name, length)
-                ids.append(np.frombuffer(i, np.int32))
-                sizes.append(np.frombuffer(n, np.int32))
+                ids.append(unpacked(i).astype(np.int32))
+                sizes.append(unpacked(n).astype(np.int64))
         if now is not None:
             yield from out()
 
-    words = cut(rows.mapInArrow(lay_out, "file string, length bigint, share int, words binary, sizes binary"))
+    words = rows.mapInArrow(lay_out, "file string, length bigint, share int, words binary, sizes binary")
     merged = words.repartition("share").mapInArrow(replay, "file string, length bigint, share int, ids binary, sizes binary")
     return merged.repartition("file").sortWithinPartitions("file", "share").mapInArrow(finish, f"doc_id {key}, {schema}")
 
